@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op1_byte_bpe
 from .packing import op2_packing
+from .simple8b import op10_simple8b
 
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op2_packing": op2_packing,
+    "op10_simple8b": op10_simple8b,
 }
 
 ORACLE_SQL: dict[str, str] = {}
