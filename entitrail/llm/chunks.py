@@ -7,6 +7,7 @@ So the parts between such spaces are tokenized independently, and the ids of a t
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable
 
@@ -23,7 +24,7 @@ def parts(text: str) -> list[str]:
 class IdBytes:
     """Ids of texts as little-endian unsigned 32-bit bytes, by a bounded memory of the ids of chunks."""
 
-    def __init__(self, encode_batch: Callable[[list[str]], list[bytes]], most: int = 300_000):
+    def __init__(self, encode_batch: Callable[[list[str]], list[bytes]], most: int = 1_000_000):
         self.encode_batch, self.most = encode_batch, most
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
@@ -63,7 +64,7 @@ def library_coder(path: str) -> IdBytes:
             out: list[bytes] = []
             for at in range(0, len(texts), 4096):
                 ids = [x.ids for x in tok.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
-                flat = np.fromiter((i for x in ids for i in x), dtype="<u4").tobytes()
+                flat = np.fromiter(itertools.chain.from_iterable(ids), dtype="<u4").tobytes()
                 end = 0
                 for x in ids:
                     out.append(flat[end : (end := end + 4 * len(x))])
