@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op1_byte_bpe
 from .packing import op2_packing
+from .pii import op3_pii
 from .quality import op4_quality_rules
 from .simhash import op6_simhash
 from .simple8b import op10_simple8b
@@ -11,6 +12,7 @@ from .simple8b import op10_simple8b
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_packing": op2_packing,
+    "op3_pii": op3_pii,
     "op4_quality_rules": op4_quality_rules,
     "op6_simhash": op6_simhash,
     "op10_simple8b": op10_simple8b,
