@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op1_byte_bpe
+from .langid import op8_language_id
 from .packing import op2_packing
 from .pii import op3_pii
 from .quality import op4_quality_rules
 from .simhash import op6_simhash
 from .simple8b import op10_simple8b
+from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
@@ -15,6 +17,8 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_quality_rules": op4_quality_rules,
     "op6_simhash": op6_simhash,
+    "op7_toxicity": op7_toxicity,
+    "op8_language_id": op8_language_id,
     "op10_simple8b": op10_simple8b,
 }
 
