@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -25,9 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import spread, table, text_slices, written
+from .common import spread, table, text_slices, work_dir
 
 _BLOCKS = "block long, bucket int, doc_ids array<long>, counts array<long>, payload binary"
 _INDEX = -1  # the bucket number of a block's positions
@@ -50,7 +50,8 @@ def _packed(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
     import zstandard
 
     head = np.array([len(arrays), *(len(a) for a in arrays)], dtype="<u4").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.astype("<u4").tobytes() for a in arrays) + tail)
+    planes = (a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for a in arrays)  # like bytes stand together
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(planes) + tail)
 
 
 def _unpacked(payload: bytes) -> tuple[list[np.ndarray], bytes]:
@@ -60,7 +61,7 @@ def _unpacked(payload: bytes) -> tuple[list[np.ndarray], bytes]:
     n = int(np.frombuffer(raw, "<u4", 1)[0])
     at, out = 4 + 4 * n, []
     for size in np.frombuffer(raw, "<u4", n, 4):
-        out.append(np.frombuffer(raw, "<u4", int(size), at))
+        out.append(np.frombuffer(raw, np.uint8, 4 * int(size), at).reshape(4, -1).T.copy().view("<u4").reshape(-1))
         at += 4 * int(size)
     return out, raw[at:]
 
@@ -69,7 +70,7 @@ def _offsets(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
 
 
-def blocks(docs: DataFrame, pattern: str, buckets: int, block_words: int = 60_000) -> DataFrame:
+def blocks(docs: DataFrame, pattern: str, buckets: int, block_words: int = 200_000) -> DataFrame:
     """Rows of _BLOCKS: a block's positions, and its distinct words by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +89,7 @@ def blocks(docs: DataFrame, pattern: str, buckets: int, block_words: int = 60_00
                 dealt[zlib.crc32(raw) % buckets].append((n, raw))
             for bucket, own in enumerate(dealt):
                 if own:
-                    rows.append((block, bucket, None, None, _packed(np.array([n for n, _ in own]), np.array([len(x) for _, x in own]), tail=b"".join(x for _, x in own))))
+                    rows.append((block, bucket, None, None, _packed(np.diff([n for n, _ in own], prepend=0), np.array([len(x) for _, x in own]), tail=b"".join(x for _, x in own))))
             words.clear(), ids.clear(), sequences.clear()
             kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names=["block", "bucket", "doc_ids", "counts", "payload"])
@@ -142,40 +143,39 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select("doc_id", "text")
     buckets = min(1 << 16, max(256, 2 * source.rdd.getNumPartitions()))
-    made = written(blocks(source, pattern, buckets), "bpe-blocks")
+    made = _clustered(blocks(source, pattern, buckets), min(4 * parts, 50_000))
     words = made.where(f"bucket <> {_INDEX}").select("block", "bucket", "payload").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    ids = word_ids(words, ranks, pattern).selectExpr("block", "0 positions", "cast(null as array<long>) doc_ids", "cast(null as array<long>) counts", "payload")
-    index = made.where(f"bucket = {_INDEX}").selectExpr("block", "1 positions", "doc_ids", "counts", "payload")
-    both = index.unionByName(ids).repartition(parts, "block").sortWithinPartitions("block", "positions")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, numbers, lengths, flats = None, [], [], []
-        for batch in batches:
-            for i in range(batch.num_rows):
-                own, positions, doc_ids, counts, payload = (c[i].as_py() for c in batch.columns)
-                if own != block:
-                    block, numbers, lengths, flats = own, [], [], []
-                arrays, _ = _unpacked(payload)
-                if not positions:
-                    numbers.append(arrays[0])
-                    lengths.append(arrays[1])
-                    flats.append(arrays[2])
-                    continue
-                flat = np.concatenate(flats) if flats else np.zeros(0, np.uint32)
-                length = np.concatenate(lengths) if lengths else np.zeros(0, np.uint32)
-                number = np.concatenate(numbers) if numbers else np.zeros(0, np.uint32)
-                start, size = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-                start[number], size[number] = _offsets(length)[:-1], length
-                ends = _offsets(np.array(counts)).tolist()
-                for at in range(0, len(doc_ids), 256):  # a few documents at a time
-                    out = []
-                    for a, b in itertools.pairwise(ends[at : at + 257]):
-                        seq = arrays[0][a:b]
-                        n = size[seq]
-                        out.append(flat[np.repeat(start[seq] - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype("<u4").tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids[at : at + 256], pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "ids"])
-
-    return both.mapInArrow(run, "doc_id long, ids binary")
+    index = made.where(f"bucket = {_INDEX}").select("block", "doc_ids", "counts", "payload")
+    return index.groupBy("block").cogroup(word_ids(words, ranks, pattern).groupBy("block")).applyInArrow(_reassembled, "doc_id long, ids binary")
+
+
+def _clustered(df: DataFrame, n: int) -> DataFrame:
+    """``df`` written to the shared folder in ``n`` buckets by block, so that later work by block moves only the other side."""
+    spark, name = df.sparkSession, f"entitrail_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", work_dir(spark, "bpe-blocks")).bucketBy(n, "block").saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: files at a given path stay, and the frame is resolved
+    return found
+
+
+def _reassembled(index: pa.Table, ids: pa.Table) -> pa.Table:
+    """A block's documents: positions and the ids of its words meet."""
+    words = [_unpacked(x)[0] for x in ids.column("payload").to_pylist()]
+    empty = [np.zeros(0, np.uint32)]
+    number = np.concatenate([np.cumsum(x[0]) for x in words] or empty)
+    length = np.concatenate([x[1] for x in words] or empty)
+    flat = np.concatenate([x[2] for x in words] or empty)
+    start, size = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+    start[number], size[number] = _offsets(length)[:-1], length
+    doc_ids, out = [], []
+    for _, of, counts, payload in zip(*(index.column(c).to_pylist() for c in ("block", "doc_ids", "counts", "payload"))):
+        sequence = _unpacked(payload)[0][0]
+        doc_ids += of
+        for a, b in itertools.pairwise(_offsets(np.array(counts)).tolist()):
+            own = sequence[a:b]
+            n = size[own]
+            out.append(flat[np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype("<u4").tobytes())
+    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(out, pa.binary())})
 
 
 class TokenBytes:
