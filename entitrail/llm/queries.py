@@ -10,6 +10,7 @@ from .quality import op4_quality_rules
 from .simhash import op6_simhash
 from .simple8b import op10_simple8b
 from .toxicity import op7_toxicity
+from .warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
@@ -19,7 +20,10 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
+    "op9_warc": op9_warc,
     "op10_simple8b": op10_simple8b,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": OP9_SQL,
+}
