@@ -8,7 +8,9 @@ So the parts between such spaces are tokenized independently, and the ids of a t
 from __future__ import annotations
 
 import itertools
+import json
 import re
+from array import array
 from collections.abc import Callable
 
 #: A space that the plain split would cut at although white space or the end follows.
@@ -45,10 +47,49 @@ class IdBytes:
         return [self.first[p[0]] + b"".join(map(get, p[1:])) for p in cut]
 
 
-_coders: dict[str, IdBytes] = {}
+#: The split pattern of byte-level tokenizers that name no other.
+BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters on whose classes all libraries agree; texts with others are left to the library of the file.
+_OTHER = re.compile("[^\x00-\u024f]")
 
 
-def library_coder(path: str) -> IdBytes:
+def byte_level_ranks(model: dict) -> dict[bytes, int] | None:
+    """The rank of each token of a plain byte-level BPE file, whose merges come in the order of their tokens' ids; else None."""
+    split = model["pre_tokenizer"] or {}
+    bpe = model["model"]
+    if model["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return None
+    if bpe["type"] != "BPE" or bpe.get("end_of_word_suffix") or bpe.get("continuing_subword_prefix") or bpe.get("ignore_merges"):
+        return None
+    # printable bytes stand for themselves in such files, the rest for the characters from 256 on
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    special = {x["content"] for x in model["added_tokens"]}
+    vocabulary = {k: v for k, v in bpe["vocab"].items() if k not in special}
+    pairs = [x if isinstance(x, list) else x.split(" ") for x in bpe["merges"]]
+    if any(set(k) - byte.keys() for k in vocabulary) or [vocabulary.get(a + b) for a, b in pairs] != list(range(256, 256 + len(pairs))):
+        return None
+    return {bytes(byte[c] for c in k): v for k, v in vocabulary.items()}
+
+
+class RankIds:
+    """Ids of texts by rank merging in one native call each; texts with unusual characters by the library."""
+
+    def __init__(self, ranks: dict[bytes, int], library: IdBytes):
+        import tiktoken
+
+        self.coder = tiktoken.Encoding("file", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.library = library
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ordinary = self.coder.encode_ordinary
+        return [self.library.encode([x])[0] if _OTHER.search(x) else array("I", ordinary(x)).tobytes() for x in texts]
+
+
+_coders: dict[str, IdBytes | RankIds] = {}
+
+
+def library_coder(path: str) -> IdBytes | RankIds:
     """Of the ``tokenizers`` file at ``path``, without special tokens; one per Python worker."""
     if path not in _coders:
         import os
@@ -70,5 +111,7 @@ def library_coder(path: str) -> IdBytes:
                     out.append(flat[end : (end := end + 4 * len(x))])
             return out
 
-        _coders[path] = IdBytes(encode)
+        with open(path, encoding="utf-8") as f:
+            ranks = byte_level_ranks(json.load(f))
+        _coders[path] = RankIds(ranks, IdBytes(encode)) if ranks else IdBytes(encode)
     return _coders[path]
