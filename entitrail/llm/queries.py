@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op5_ann
 from .bpe import op1_byte_bpe
 from .langid import op8_language_id
 from .packing import op2_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_pii": op3_pii,
     "op4_quality_rules": op4_quality_rules,
+    "op5_ann": op5_ann,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
