@@ -172,7 +172,7 @@ def improvements(graph: DataFrame, nodes: DataFrame, k: int, reverse: int) -> Da
     return dealt.mapInArrow(run, _EDGES)
 
 
-def build_graph(x: DataFrame, k: int = 16, reverse: int = 12, trees: int = 4, block: int = 192, rounds: int = 8) -> DataFrame:
+def build_graph(x: DataFrame, k: int = 32, reverse: int = 24, trees: int = 4, block: int = 256, rounds: int = 8) -> DataFrame:
     """(v, u, d, fresh): up to ``k`` near nodes of each (node, embedding) with squared distances."""
 
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +195,7 @@ def build_graph(x: DataFrame, k: int = 16, reverse: int = 12, trees: int = 4, bl
     for _ in range(rounds):
         old = graph.withColumn("fresh", F.lit(False))
         graph = written(nearest(old.unionByName(improvements(graph, nodes, k, reverse)), k), "ann-graph")
-        if graph.where("fresh").count() <= 0.02 * k * n:
+        if graph.where("fresh").count() <= 0.01 * k * n:
             break
     return graph
 
@@ -206,7 +206,7 @@ def distance(a: str, b: str) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, e: s + e))
 
 
-def search(queries: DataFrame, graph: DataFrame, x: DataFrame, beam: int = 48, expand: int = 16) -> DataFrame:
+def search(queries: DataFrame, graph: DataFrame, x: DataFrame, beam: int = 256, expand: int = 32) -> DataFrame:
     """(q, u, d): the best ``beam`` nodes found for each query node ``q``; ``x`` is (node, embedding)."""
     vectors = x.select(F.col("node").alias("u"), F.col("embedding").alias("there"))
     asked = queries.select("q", F.col("embedding").alias("here"))
