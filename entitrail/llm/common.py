@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,22 +39,29 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
+    """``docs`` less the rows of ``removed`` (doc_id, text_hash), a written table; a null id equals a null id."""
+    gone = removed.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    return docs.join(gone, same, "left_anti")
 
 
 #: Characters of text that Python code takes from an Arrow batch at a time.
 SLICE_CHARS = 4_000_000
 
 
-def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """Lists of (first column's values, texts), null text as empty, of at most SLICE_CHARS bytes or one row."""
+def column_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with at most about SLICE_CHARS bytes of text, the second column, or one row."""
     for batch in batches:
-        size = batch.column(1).nbytes
-        step = max(1, batch.num_rows * SLICE_CHARS // max(size, SLICE_CHARS))
+        step = max(1, batch.num_rows * SLICE_CHARS // max(batch.column(1).nbytes, SLICE_CHARS))
         for at in range(0, batch.num_rows, step):
-            part = batch.slice(at, step)
-            yield part.column(0).to_pylist(), [x or "" for x in part.column(1).to_pylist()]
+            yield batch.slice(at, step)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Lists of (first column's values, texts), null text as empty, of at most SLICE_CHARS bytes or one row."""
+    for part in column_slices(batches):
+        yield part.column(0).to_pylist(), [x or "" for x in part.column(1).to_pylist()]
 
 
 def in_training(doc_id: str = "doc_id") -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spread, table, text_slices, written
+from .common import column_slices, spread, table, without, written
 from .components import components
 
 #: Buckets of more classes than this give a spanning forest.
@@ -51,14 +51,14 @@ def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint's bits as a long."""
+    """(doc_id, text_hash, fp): the text's xxhash64 and the fingerprint's bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_ids, texts in text_slices(batches):
-            fps = np.array([fingerprint(x, shingle, seed) for x in texts], dtype=np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(fps)], names=["doc_id", "fp"])
+        for part in column_slices(batches):
+            fps = np.array([fingerprint(x or "", shingle, seed) for x in part.column(1).to_pylist()], dtype=np.uint64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(fps)], names=["doc_id", "text_hash", "fp"])
 
-    return spread(docs.selectExpr("cast(doc_id as long) doc_id", "text")).mapInArrow(run, "doc_id long, fp long")
+    return spread(docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) text_hash")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _pivots() -> np.ndarray:
@@ -184,14 +184,32 @@ def links(classes: DataFrame, max_distance: int = 4, most: int = 20_000) -> Data
 
 
 def near_duplicates(docs: DataFrame, max_distance: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id), a row per document; component_id is the smallest doc_id linked over any way."""
+    """(doc_id, text_hash, fp, label, component_id), a row per document; component_id is the smallest doc_id linked over any way.
+
+    ``label`` names the component, too, by its smallest fingerprint.
+    """
     rows = written(fingerprints(docs), "simhash-rows")
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     labels = components(links(classes, max_distance)).selectExpr("node fp", "label")
     named = written(classes.join(labels, "fp", "left").selectExpr("fp", "least", "coalesce(label, fp) label"), "simhash-labels")
     least = written(named.groupBy("label").agg(F.min("least").alias("component_id")), "simhash-least")
-    of = written(named.join(least, "label").select("fp", "component_id"), "simhash-components")
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = written(named.join(least, "label").select("fp", "label", "component_id"), "simhash-components")
+    return rows.join(of, "fp").select("doc_id", "text_hash", "fp", "label", "component_id")
+
+
+def one_of_each(docs: DataFrame, max_distance: int = 4) -> DataFrame:
+    """The rows of ``docs`` with the least (doc_id, text hash) of each component, whole; of equal rows, one."""
+    rows = written(near_duplicates(docs, max_distance).select("doc_id", "text_hash", "label"), "simhash-found")
+    key = F.struct("doc_id", "text_hash")
+    first = written(rows.groupBy("label").agg(F.min(key).alias("first")), "simhash-first")
+    copies = rows.groupBy("doc_id", "text_hash", "label").count()
+    removed = copies.join(first, "label").where(~key.eqNullSafe(F.col("first"))).select("doc_id", "text_hash")
+    kept = without(docs, written(removed, "simhash-removed"))
+    again = written(copies.where("count > 1").join(first, "label").where(key.eqNullSafe(F.col("first"))).select("doc_id", "text_hash"), "simhash-again")
+    if not again.limit(1).count():
+        return kept
+    repeated = kept.join(again.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_semi")
+    return without(kept, again).unionByName(repeated.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).drop("__hash"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
