@@ -9,10 +9,15 @@ from __future__ import annotations
 
 import itertools
 import json
+import os
 import re
 from array import array
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: A space that the plain split would cut at although white space or the end follows.
 _MESSY = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
@@ -23,7 +28,14 @@ def parts(text: str) -> list[str]:
     return _CUT.split(text) if _MESSY.search(text) else text.split(" ")
 
 
-class IdBytes:
+class _Flat:
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, ids per text); null texts have none."""
+        ids = self.encode([x or "" for x in texts.to_pylist()])
+        return np.frombuffer(b"".join(ids), dtype="<u4"), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+
+
+class IdBytes(_Flat):
     """Ids of texts as little-endian unsigned 32-bit bytes, by a bounded memory of the ids of chunks."""
 
     def __init__(self, encode_batch: Callable[[list[str]], list[bytes]], most: int = 1_000_000):
@@ -53,6 +65,12 @@ BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]
 _OTHER = re.compile("[^\x00-\u024f]")
 
 
+def _byte_of() -> dict[str, int]:
+    """The byte that a character of such files stands for: printable ones themselves, characters from 256 on the rest."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+
+
 def byte_level_ranks(model: dict) -> dict[bytes, int] | None:
     """The rank of each token of a plain byte-level BPE file, whose merges come in the order of their tokens' ids; else None."""
     split = model["pre_tokenizer"] or {}
@@ -61,9 +79,7 @@ def byte_level_ranks(model: dict) -> dict[bytes, int] | None:
         return None
     if bpe["type"] != "BPE" or bpe.get("end_of_word_suffix") or bpe.get("continuing_subword_prefix") or bpe.get("ignore_merges"):
         return None
-    # printable bytes stand for themselves in such files, the rest for the characters from 256 on
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    byte = _byte_of()
     special = {x["content"] for x in model["added_tokens"]}
     vocabulary = {k: v for k, v in bpe["vocab"].items() if k not in special}
     pairs = [x if isinstance(x, list) else x.split(" ") for x in bpe["merges"]]
@@ -72,7 +88,81 @@ def byte_level_ranks(model: dict) -> dict[bytes, int] | None:
     return {bytes(byte[c] for c in k): v for k, v in vocabulary.items()}
 
 
-class RankIds:
+def word_end_ranks(model: dict) -> dict[bytes, int] | None:
+    """The rank of each token of a BPE file of lower-case words with end marks, whose merges come in the order of their tokens' ids; else None.
+
+    The mark of a word's end stands as byte 0xFF, which no UTF-8 has; it joins the last byte before all other merges.
+    """
+    bpe, end = model["model"], model["model"].get("end_of_word_suffix")
+    if bpe["type"] != "BPE" or not end or bpe.get("continuing_subword_prefix") or bpe.get("ignore_merges"):
+        return None
+    if model["normalizer"] != _LOWER_WORDS["normalizer"] or model["pre_tokenizer"] != _LOWER_WORDS["pre_tokenizer"]:
+        return None
+    byte = _byte_of()
+    special = {x["content"] for x in model["added_tokens"]}
+    vocabulary = {k: v for k, v in bpe["vocab"].items() if k not in special}
+    pairs = [x if isinstance(x, list) else x.split(" ") for x in bpe["merges"]]
+    if [vocabulary.get(a + b) for a, b in pairs] != list(range(512, 512 + len(pairs))):
+        return None
+    out = {bytes(byte[c] for c in k.removesuffix(end)) + b"\xff" * k.endswith(end): v for k, v in vocabulary.items()}
+    return out if len(out) == len(vocabulary) else None
+
+
+_LOWER_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+class WordIds:
+    """Ids of texts whose white space is dropped: parts between spaces are numbered as Arrow columns and merged once each."""
+
+    def __init__(self, ranks: dict[bytes, int], library: IdBytes, most: int = 1_000_000):
+        import regex
+        import tiktoken
+
+        split = _LOWER_WORDS["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.merge = tiktoken.Encoding("file", pat_str=split, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.find, self.library, self.most = regex.compile(split).findall, library, most
+        self.known: dict[str, bytes] = {}
+
+    def part(self, text: str) -> bytes:
+        low = text.lower()  # below 0x250 the text is its own composed form, and letters change one by one
+        if _OTHER.search(text) or _OTHER.search(low):
+            return self.library.encode([text])[0]
+        if low.isalpha():
+            return array("I", self.merge(low.encode() + b"\xff")).tobytes()
+        return array("I", [i for word in self.find(low) for i in self.merge(word.encode() + b"\xff")]).tobytes()
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known) > self.most:
+            self.known.clear()
+        parts = pc.split_pattern(texts.fill_null(""), " ")
+        counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+        coded = parts.flatten().dictionary_encode()
+        known, own = self.known, coded.dictionary.to_pylist()
+        for x in own:
+            if x not in known:
+                known[x] = self.part(x)
+        ids = [known[x] for x in own]
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[at]
+        total = np.cumsum(n)
+        start = (np.cumsum(size) - size)[at] - (total - n)
+        out = flat[np.repeat(start, n) + np.arange(total[-1] if len(total) else 0)]
+        ends = np.concatenate([[0], total])[np.cumsum(counts)]
+        return out, np.diff(ends, prepend=0)
+
+
+class RankIds(_Flat):
     """Ids of texts by rank merging in one native call each; texts with unusual characters by the library."""
 
     def __init__(self, ranks: dict[bytes, int], library: IdBytes):
@@ -86,16 +176,13 @@ class RankIds:
         return [self.library.encode([x])[0] if _OTHER.search(x) else array("I", ordinary(x)).tobytes() for x in texts]
 
 
-_coders: dict[str, IdBytes | RankIds] = {}
+_coders: dict[str, IdBytes | RankIds | WordIds] = {}
 
 
-def library_coder(path: str) -> IdBytes | RankIds:
+def library_coder(path: str) -> IdBytes | RankIds | WordIds:
     """Of the ``tokenizers`` file at ``path``, without special tokens; one per Python worker."""
     if path not in _coders:
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import numpy as np
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
@@ -112,6 +199,7 @@ def library_coder(path: str) -> IdBytes | RankIds:
             return out
 
         with open(path, encoding="utf-8") as f:
-            ranks = byte_level_ranks(json.load(f))
-        _coders[path] = RankIds(ranks, IdBytes(encode)) if ranks else IdBytes(encode)
+            model = json.load(f)
+        ranks, ends = byte_level_ranks(model), word_end_ranks(model)
+        _coders[path] = RankIds(ranks, IdBytes(encode)) if ranks else WordIds(ends, IdBytes(encode)) if ends else IdBytes(encode)
     return _coders[path]

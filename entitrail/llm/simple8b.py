@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import library_coder
-from .common import table, text_slices, work_dir
+from .common import column_slices, table, work_dir
 from .files import read_blobs, write_blobs
 
 BLOCK = 256
@@ -35,19 +35,26 @@ _HEAD = "<8sIIQQQQQ"
 
 def encode_words(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word of each block, words, exceptions) of unsigned 64-bit values; every block is coded greedily, all blocks in step."""
-    v = values.astype(np.uint64)
-    n = len(v)
+    n = len(values)
+    blocks = -(-n // BLOCK)
+    v = np.zeros(blocks * BLOCK, dtype=np.uint64)
+    v[:n] = values
     big = v >= np.uint64(1) << np.uint64(60)
     exceptions = v[big]
-    where = np.arange(n)
-    ends = np.minimum((where // BLOCK + 1) * BLOCK, n)
-    choice = np.full(n, 15, dtype=np.uint8)
+    width = np.zeros((blocks, BLOCK + int(COUNTS.max())), dtype=np.uint8)  # bits of each value; zeros pad a block's last words
+    width[:, :BLOCK] = np.frexp(v.astype(np.float64))[1].reshape(blocks, BLOCK)
+    choice = np.full((blocks, BLOCK), 15, dtype=np.uint8)
     for s in range(14, 1, -1):  # the last that fits holds most values
-        far = np.where(v >= np.uint64(1) << np.uint64(BITS[s]), where, n)
-        if not (far == n).any():
+        wide = width > BITS[s]
+        rows = np.flatnonzero(BLOCK - wide[:, :BLOCK].sum(axis=1) >= COUNTS[s])
+        if not len(rows):
             continue
-        stop = np.minimum.accumulate(far[::-1])[::-1]  # the next value that is too wide
-        choice[(stop >= np.minimum(where + COUNTS[s], ends)) & (far == n)] = s
+        seen = np.cumsum(wide[rows], axis=1, dtype=np.int16)
+        before = np.zeros((len(rows), BLOCK), dtype=np.int16)
+        before[:, 1:] = seen[:, : BLOCK - 1]
+        fits = seen[:, COUNTS[s] - 1 : COUNTS[s] - 1 + BLOCK] == before
+        choice[rows] = np.where(fits, np.uint8(s), choice[rows])
+    choice = choice.ravel()
     choice[big] = 0
     take = COUNTS[choice]
     at = np.arange(0, n, BLOCK)
@@ -158,11 +165,14 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, file_
             content = file_bytes(part, number, doc_ids, counts, np.frombuffer(b"".join(parts), "<u4"))
             return pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], names=["content"])
 
-        for ids_of, texts in text_slices(batches):
-            for doc_id, ids in zip(ids_of, coder.encode(texts)):
+        for rows in column_slices(batches):
+            flat, sizes = coder.flat(rows.column(1))
+            flat, at = flat.tobytes(), 0
+            for doc_id, size in zip(rows.column(0).to_pylist(), sizes.tolist()):
                 doc_ids.append(doc_id)
-                counts.append(len(ids) // 4 + 1)
-                parts += (ids, end)
+                counts.append(size + 1)
+                parts += (flat[at : at + 4 * size], end)
+                at += 4 * size
                 held += counts[-1]
                 if held >= file_ids:
                     yield out()
