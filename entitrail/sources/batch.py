@@ -187,13 +187,30 @@ def read_batch(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, ROWS)
 
 
+def _empty_files(spark: SparkSession, folders: list[str]) -> list[str]:
+    """Paths of files without a byte, which no source of Spark shows."""
+    found, hadoop = [], spark._jvm.org.apache.hadoop.fs
+    for folder in folders:
+        path = hadoop.Path(folder)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        listed = system.listStatusIterator(path) if system.exists(path) else None
+        while listed is not None and listed.hasNext():
+            status = listed.next()
+            if status.getLen() == 0 and not status.isDirectory():
+                found.append(status.getPath().toString())
+    return found
+
+
 def with_texts(rows: DataFrame, texts_dir: str | None = None) -> DataFrame:
     """``rows`` with ``text_file`` and ``text``, null where there is no such file; a text that is empty or no UTF-8 is an error."""
     spark = rows.sparkSession
-    folder = F.lit(texts_dir) if texts_dir else F.concat(F.regexp_replace("source_csv", r"[^/]*\z", ""), F.lit("txts"))
+    folder = F.lit(texts_dir.rstrip("/")) if texts_dir else F.concat(F.regexp_replace("source_csv", r"[^/]*\z", ""), F.lit("txts"))
     rows = rows.withColumn("text_file", F.concat(folder, F.lit("/"), "version_id", F.lit(".txt")))
     folders = [texts_dir] if texts_dir else [r[0] for r in rows.select(folder).distinct().collect()]
     bare = lambda c: F.regexp_replace(c, r"\A[A-Za-z0-9+.-]*:?/*", "")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folders).select(bare(F.col("path")).alias("at"), "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folders).select("path", "content")
+    empty = spark.createDataFrame([(x, bytearray()) for x in _empty_files(spark, folders)], "path string, content binary")
+    files = files.unionByName(empty).select(bare(F.col("path")).alias("at"), "content")
+    joined = rows.join(files, bare(F.col("text_file")) == F.col("at"), "left")
     text = F.when(F.length("content") == 0, F.raise_error(F.concat(F.lit("empty text: "), "text_file"))).otherwise(F.decode("content", "UTF-8"))
-    return rows.join(files, bare(F.col("text_file")) == F.col("at"), "left").withColumn("text", F.when(F.col("content").isNotNull(), text)).drop("at", "content")
+    return joined.withColumn("text", F.when(F.col("content").isNotNull(), text)).drop("at", "content")
