@@ -90,8 +90,12 @@ def fit(docs: DataFrame, train: Column, per_language: int = 400, most: int = 400
     """From (doc_id, text, lang): at most ``per_language`` rows of each language and ``most`` in all, least id hashes first."""
     spark = docs.sparkSession
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    # of frequent languages only rows with small hashes, some times as many as are wanted, need to be ranked
+    frequent = F.broadcast(rows.groupBy("lang").count().where(F.col("count") > 4 * per_language).orderBy(F.desc("count"), "lang").limit(10_000))
+    share = F.coalesce(4.0 * per_language / F.col("count"), F.lit(1.0))
+    few = rows.join(frequent, "lang", "left").where(F.shiftrightunsigned("h", 11) / float(1 << 53) < share)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    sample = rows.withColumn("rank", rank).where(F.col("rank") <= per_language).orderBy("rank", "h", "lang").limit(most).collect()
+    sample = few.withColumn("rank", rank).where(F.col("rank") <= per_language).orderBy("rank", "h", "lang").limit(most).collect()
     if not sample:
         return None
     order = {(r.doc_id, r.lang): i for i, r in reversed(list(enumerate(sample)))}

@@ -80,7 +80,9 @@ def measures(docs: DataFrame, window: int = 5) -> DataFrame:
     df = df.withColumn("places", F.sort_array(F.transform(repeats, lambda x: x["p"]))).drop("windows")
     places = F.col("places")
     covered = F.transform(places, lambda p, i: F.when(i == 0, window).otherwise(F.least(F.lit(window), p - F.get(places, i - 1))))
-    return df.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)).drop("places")
+    total = F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)
+    # a column that is not deterministic keeps filters above: pushed below, they would repeat all of this per window
+    return df.withColumn("n_repeat_words", F.when(F.monotonically_increasing_id() >= 0, total)).drop("places")
 
 
 def rule_columns(rules: Sequence[tuple[str, str, float | None, float | None]] = RULES) -> list[Column]:
