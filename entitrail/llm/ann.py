@@ -62,7 +62,7 @@ def _edges(v: np.ndarray, u: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(u, pa.int64()), pa.array(d, pa.float32()), pa.array(np.ones(len(v), bool))], names=["v", "u", "d", "fresh"])
 
 
-def first_edges(nodes: DataFrame, k: int, tree: int, bits: int, block: int) -> DataFrame:
+def first_edges(nodes: DataFrame, n: int, k: int, tree: int, bits: int, block: int) -> DataFrame:
     """The nearest ``k`` of each (node, half) within its run of the order that the projections of ``tree`` give."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,8 +95,9 @@ def first_edges(nodes: DataFrame, k: int, tree: int, bits: int, block: int) -> D
                     yield _edges(np.repeat(node, own), node[near].ravel(), np.take_along_axis(d, near, axis=1).ravel())
             held = rows.slice(n).to_batches()
 
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = nodes.mapInArrow(keyed, "code long, side float, node long, half binary").repartitionByRange(parts, "code", "side").sortWithinPartitions("code", "side")
+    keys = nodes.mapInArrow(keyed, "code long, side float, node long, half binary")
+    parts = min(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // (2 * block))  # a part holds some runs
+    dealt = (keys.repartitionByRange(parts, "code", "side") if parts > 1 else keys.coalesce(1)).sortWithinPartitions("code", "side")
     return dealt.select("node", "half").mapInArrow(run, _EDGES)
 
 
@@ -187,7 +188,7 @@ def build_graph(x: DataFrame, k: int = 32, reverse: int = 24, trees: int = 4, bl
     nodes = written(x.select("node", "embedding").mapInArrow(halves, "node long, half binary"), "ann-halves")
     n = nodes.count()
     bits = max(1, min(30, (n // block).bit_length()))
-    made = [first_edges(nodes, k, t, bits, block) for t in range(trees)]
+    made = [first_edges(nodes, n, k, t, bits, block) for t in range(trees)]
     graph = made[0]
     for other in made[1:]:
         graph = graph.unionByName(other)

@@ -111,3 +111,37 @@ def judged(docs: DataFrame, rules: Sequence[tuple[str, str, float | None, float
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return judged(table(spark, sf_dir, "documents")).select(*names)
+
+
+def _rule_sql(measure: str, least: float | None, most: float | None) -> str:
+    if " / " in measure:
+        a, b = measure.split(" / ")
+        measure = f"(CAST({a} AS DOUBLE) / nullif({b}, 0))"
+    elif measure.startswith("if("):
+        test, yes, no = measure[3:-1].split(", ")
+        measure = f"(CASE WHEN {test} THEN {yes} ELSE {no} END)"
+    sides = ([f"{measure} >= CAST({least} AS DOUBLE)"] if least is not None else []) + ([f"{measure} <= CAST({most} AS DOUBLE)"] if most is not None else [])
+    return f"coalesce({' AND '.join(sides)}, true)"
+
+
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS k FROM documents),
+w AS (
+  SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d
+), win AS (SELECT k, p, list_slice(ws, p, p + 4) AS win FROM (SELECT k, ws, unnest(range(1, len(ws) - 3)) AS p FROM w)),
+rep AS (SELECT k, p FROM (SELECT k, p, count(*) OVER (PARTITION BY k, win) AS c FROM win) WHERE c > 1),
+cov AS (SELECT k, count(DISTINCT p + j) AS n FROM rep, range(0, 5) r(j) GROUP BY k),
+m AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(translate(t, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols, length(t) - length(translate(t, '!', '')) AS n_marks,
+         len(ls) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
+         len(list_filter(ls, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[ \\t-\\r]*\\z'))) AS n_ellipsis_lines,
+         len(list_filter(ls, lambda x: regexp_matches(x, '\\A[ \\t-\\r]*[•*\\-‣–][ \\t]'))) AS n_bullet_lines,
+         len(list_filter(ws, lambda x: regexp_matches(x, '\\p{{L}}'))) AS n_letter_words,
+         len(list_filter(ws, lambda x: list_contains([{", ".join(f"'{x}'" for x in STOP_WORDS)}], lower(x)))) AS n_stop_words
+  FROM w LEFT JOIN cov USING (k)
+), b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND {" AND ".join(_rule_sql(*r[1:]) for r in RULES)} AS kept
+FROM b
+"""

@@ -7,7 +7,7 @@ from .bpe import op1_byte_bpe
 from .langid import op8_language_id
 from .packing import op2_packing
 from .pii import op3_pii
-from .quality import op4_quality_rules
+from .quality import OP4_SQL, op4_quality_rules
 from .simhash import op6_simhash
 from .simple8b import op10_simple8b
 from .toxicity import op7_toxicity
@@ -27,5 +27,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": OP4_SQL,
     "op9_warc": OP9_SQL,
 }
