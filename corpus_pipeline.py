@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entitrail.llm import langid, packing, pii, simhash, toxicity
-from entitrail.llm.common import in_training, table, without, written
+from entitrail.llm.common import in_training, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.scored(docs, table(spark, sf_dir, "labels"))
-    return without(docs, written(scored.where(F.col("score") >= toxicity.THRESHOLD).select("doc_id", "text_hash").distinct(), "pipeline-toxic"))
+    return toxicity.kept_rows(docs, table(spark, sf_dir, "labels"), toxicity.THRESHOLD)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

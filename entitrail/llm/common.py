@@ -40,7 +40,9 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """``docs`` less the rows of ``removed`` (doc_id, text_hash), a written table; a null id equals a null id."""
+    """``docs`` less the rows of ``removed`` (doc_id[, text_hash]), a written table; by both, a null id equals a null id."""
+    if "text_hash" not in removed.columns:
+        return docs.join(removed.select(F.col("doc_id").alias("__id")), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
     gone = removed.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
     return docs.join(gone, same, "left_anti")
@@ -50,12 +52,12 @@ def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
 SLICE_CHARS = 4_000_000
 
 
-def column_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of the batches with at most about SLICE_CHARS bytes of text, the second column, or one row."""
+def column_slices(batches: Iterator[pa.RecordBatch], at: int = 1) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with at most about SLICE_CHARS bytes of text, the column ``at``, or one row."""
     for batch in batches:
-        step = max(1, batch.num_rows * SLICE_CHARS // max(batch.column(1).nbytes, SLICE_CHARS))
-        for at in range(0, batch.num_rows, step):
-            yield batch.slice(at, step)
+        step = max(1, batch.num_rows * SLICE_CHARS // max(batch.column(at).nbytes, SLICE_CHARS))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, in_training, spread, table, text_slices
+from .common import column_slices, held_out, in_training, spread, table, text_slices
 
 _LETTER = re.compile(r"[^\W\d_]")
 BINS = 1 << 15
@@ -142,12 +142,9 @@ def kept_rows(docs: DataFrame, model: Model | None, least: float = 0.0) -> DataF
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            step = max(1, batch.num_rows * 4_000_000 // max(batch.column(at).nbytes, 4_000_000))
-            for start in range(0, batch.num_rows, step):
-                part = batch.slice(start, step)
-                lang, score = _best(shared.value, [x or "" for x in part.column(at).to_pylist()])
-                yield part.filter(pa.array([k != "und" and s >= least for k, s in zip(lang, score)], pa.bool_()))
+        for part in column_slices(batches, at):
+            lang, score = _best(shared.value, [x or "" for x in part.column(at).to_pylist()])
+            yield part.filter(pa.array([k != "und" and s >= least for k, s in zip(lang, score)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -200,6 +200,9 @@ def near_duplicates(docs: DataFrame, max_distance: int = 4) -> DataFrame:
 def one_of_each(docs: DataFrame, max_distance: int = 4) -> DataFrame:
     """The rows of ``docs`` with the least (doc_id, text hash) of each component, whole; of equal rows, one."""
     rows = written(near_duplicates(docs, max_distance).select("doc_id", "text_hash", "label"), "simhash-found")
+    if not rows.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count():  # the id alone names a row
+        least = written(rows.groupBy("label").agg(F.min("doc_id").alias("least")), "simhash-first")
+        return without(docs, written(rows.join(least, "label").where("doc_id <> least").select("doc_id"), "simhash-removed"))
     key = F.struct("doc_id", "text_hash")
     first = written(rows.groupBy("label").agg(F.min(key).alias("first")), "simhash-first")
     copies = rows.groupBy("doc_id", "text_hash", "label").count()
