@@ -70,7 +70,7 @@ def _offsets(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
 
 
-def blocks(docs: DataFrame, pattern: str, buckets: int, block_words: int = 200_000) -> DataFrame:
+def blocks(docs: DataFrame, pattern: str, buckets: int, block_words: int = 280_000) -> DataFrame:
     """Rows of _BLOCKS: a block's positions, and its distinct words by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
