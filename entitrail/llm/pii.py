@@ -4,11 +4,11 @@ Base spans are the leftmost non-overlapping matches of a kind's pattern that pas
 words around a span are its lexical patterns: the two words before it, and the word before with the word after. The
 same contexts around loosely shaped identifiers (no valid checksum, spelled-out separators, no country code) make a
 graph of patterns and instances. Spark scores it in rounds: a pattern is trusted by the mean trust of its distinct
-instances, counting each place in those texts where its words stand before anything else as an instance without trust;
-an instance is trusted unless all its patterns err (1 - product of 1 - trust); seeds stay at 1. Instances that end
+instances, counting each place in distinct texts with mentions where its words stand around anything but a mention as
+an instance without trust; an instance is trusted unless all its patterns err (1 - product of 1 - trust); seeds stay at 1. Instances that end
 above ``accept`` give further spans of their kind, wherever they occur in a scored context. Nothing is capped.
 
-Texts are read once; what is kept of them is spans and contexts. Sums are made before the shuffle, so a pattern or an
+Texts are read twice, for spans with contexts and for the places that speak against contexts. Sums are made before the shuffle, so a pattern or an
 instance with a third of all rows is no hot key there; the score tables that joins look up are written tables.
 
 Defined cases: a null or empty text has no spans; ``doc_id`` may be null or repeat, each row gives a row; an empty
@@ -17,7 +17,6 @@ table gives no rows; other columns are ignored. Spans are code points, end exclu
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -43,13 +42,13 @@ _LOOSE = (
     re.compile(r"(?<![\w.+-])[0-9](?:[ ./-]?[0-9]){11,18}(?![\w-])"),
     re.compile(r"(?<![\w.+-])\(?[0-9](?:[ ().\-/]{0,2}[0-9]){6,14}(?![\w-])"),
 )
-_WORDS_BEFORE = re.compile(r"(\S+)[ \t]+(\S+)[ \t]*[\"'(<\[]?\Z")
-_WORD_AFTER = re.compile(r"[\"')>\]]?[ \t]*(\S+)")
-#: Characters on a side that contexts are taken from.
-REACH = 60
+#: A word, with the sign that makes it a label; a mention's mark; line breaks.
+_WORD = re.compile(r"[^\W_]{1,60}[:=#]?|\x00|\n\s*")
+#: Contexts that a pass over the texts looks for.
+AT_ONCE = 200_000
 
 _SPAN = "struct<kind:int,start:int,end:int>"
-_MENTION = "struct<kind:int,start:int,end:int,instance:string,patterns:array<string>,elsewhere:int,seed:boolean>"
+_MENTION = "struct<kind:int,start:int,end:int,instance:string,patterns:array<string>,seed:boolean>"
 _ROW = f"doc_id long, spans array<{_SPAN}>, mentions array<{_MENTION}>"
 
 
@@ -108,20 +107,57 @@ def _loose_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int
     return out
 
 
-def _mention(text: str, pairs: Counter, span: tuple[int, int, int], seed: bool) -> dict:
-    kind, a, b = span
-    before = _WORDS_BEFORE.search(text[max(0, a - REACH) : a])
-    after = _WORD_AFTER.match(text, b, b + REACH)
-    norm = lambda w: re.sub(r"[0-9]", "9", w.lower())
-    patterns, elsewhere = [], 0
-    if before:
-        one, two = before.groups()
-        patterns.append(f"{KINDS[kind]}|{norm(one)} {norm(two)} _")
-        if after:
-            patterns.append(f"{KINDS[kind]}|{norm(two)} _ {norm(after[1])}")
-        elsewhere = max(0, pairs[one, two] - 1)
-    instance = KINDS[kind] + "|" + re.sub(r"[\s().\-/]", "", text[a:b]).lower()
-    return {"kind": kind, "start": a, "end": b, "instance": instance, "patterns": patterns, "elsewhere": elsewhere, "seed": seed}
+def _found(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans and loose spans."""
+    if not _ANY.search(text):
+        return [], []
+    own = base_spans(text)
+    return own, _loose_spans(text, own)
+
+
+def _words(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[str], set[int], dict[tuple[int, int], int]]:
+    """Words with a mark for each span (one for those that overlap), which of them start a line, and the spans' marks by number."""
+    parts, at, number = [], 0, {}
+    text = text.replace("\x00", " ")
+    for _, a, b in sorted(spans, key=lambda x: x[1:]):
+        if a >= at:
+            parts += (text[at:a], "\x00")
+        number[a, b] = len(parts) // 2 - 1
+        at = max(at, b)
+    words, starts = [], {0}
+    for word in _WORD.findall(re.sub(r"[0-9]", "9", "".join([*parts, text[at:]]).lower())):
+        if word[0] == "\n":
+            starts.add(len(words))
+        else:
+            words.append(word)
+    return words, starts, number
+
+
+def _contexts(words: list[str], starts: set[int], i: int) -> list[str]:
+    """What stands around place ``i``, which is written as _."""
+    out = []
+    if i > 0:
+        if i > 1:
+            out.append(f"{words[i - 2]} {words[i - 1]} _")
+        if i + 1 < len(words):
+            out.append(f"{words[i - 1]} _ {words[i + 1]}")
+    return out
+
+
+def _mentions(text: str) -> tuple[list[dict], list[dict]]:
+    """Base spans; mentions."""
+    own, loose = _found(text)
+    both = [(x, True) for x in own] + [(x, False) for x in loose]
+    if not both:
+        return [], []
+    words, starts, number = _words(text, own + loose)
+    marks = [i for i, w in enumerate(words) if w == "\x00"]
+    out = []
+    for (kind, a, b), seed in both:
+        patterns = [f"{KINDS[kind]}|{c}" for c in _contexts(words, starts, marks[number[a, b]])]
+        instance = KINDS[kind] + "|" + re.sub(r"[\s().\-/]", "", text[a:b]).lower()
+        out.append({"kind": kind, "start": a, "end": b, "instance": instance, "patterns": patterns, "seed": seed})
+    return [{"kind": k, "start": a, "end": b} for k, a, b in own], out
 
 
 def mentions(docs: DataFrame) -> DataFrame:
@@ -129,31 +165,81 @@ def mentions(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-        mention = pa.struct([*span, ("instance", pa.string()), ("patterns", pa.list_(pa.string())), ("elsewhere", pa.int32()), ("seed", pa.bool_())])
+        mention = pa.struct([*span, ("instance", pa.string()), ("patterns", pa.list_(pa.string())), ("seed", pa.bool_())])
         for doc_ids, texts in text_slices(batches):
-            spans, found = [], []
-            for text in texts:
-                own = base_spans(text) if _ANY.search(text) else None
-                spans.append([{"kind": k, "start": a, "end": b} for k, a, b in own or ()])
-                both = [] if own is None else [(x, True) for x in own] + [(x, False) for x in _loose_spans(text, own)]
-                words = text.split() if both else []
-                pairs = Counter(itertools.pairwise(words))
-                found.append([_mention(text, pairs, x, seed) for x, seed in both])
+            spans, found = zip(*map(_mentions, texts)) if texts else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(found, pa.list_(mention))], names=["doc_id", "spans", "mentions"])
 
     return spread(docs.selectExpr("cast(doc_id as long) doc_id", "text")).mapInArrow(run, _ROW)
 
 
-def scored_instances(found: DataFrame, rounds: int = 3, least_seeds: int = 3) -> DataFrame:
+def _counted(text: str, contexts: frozenset[str], before: frozenset[str], after: frozenset[str]) -> Counter:
+    """How often each of ``contexts`` stands around something that is no mention; one of its inner words is in ``before`` or ``after``."""
+    own, loose = _found(text)
+    if not own and not loose:
+        return Counter()
+    words, starts, _ = _words(text, own + loose)
+    places = {i + 1 for i, w in enumerate(words) if w in before} | {i - 1 for i, w in enumerate(words) if w in after}
+    places = [i for i in places if 0 <= i < len(words) and words[i] != "\x00"]
+    return Counter(c for i in places for c in _contexts(words, starts, i) if c in contexts)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's sums of lists of (context, x)."""
+    sums: Counter = Counter()
+    for batch in batches:
+        found = batch.column(0).flatten()
+        for context, x in zip(found.field("context").to_pylist(), found.field("x").to_pylist()):
+            sums[context] += x
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["context", "x"])
+
+
+def misses(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(context, x): how often each of ``wanted`` (context) stands around something that is no mention, in distinct texts.
+
+    Contexts go to every task, AT_ONCE of them; more take several passes, so the broadcast does not grow with them.
+    """
+    spark = docs.sparkSession
+    texts = spread(docs.select(F.xxhash64("text").alias("h"), "text").where("text is not null"))
+    passes = -(-wanted.count() // AT_ONCE)
+    out = None
+    for k in range(passes):
+        contexts = frozenset(r.context for r in wanted.where(F.pmod(F.xxhash64("context"), F.lit(passes)) == k).collect())
+        split = [c.split(" ") for c in contexts]
+        at = [c.index("_") for c in split]
+        before = frozenset(c[i - 1] for c, i in zip(split, at) if i)
+        after = frozenset(c[i + 1] for c, i in zip(split, at) if not i)
+        shared = spark.sparkContext.broadcast((contexts, before, after))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            kind = pa.list_(pa.struct([("context", pa.string()), ("x", pa.int32())]))
+            for hashes, texts in text_slices(batches):
+                counts = [(h, c) for h, c in zip(hashes, (_counted(x, *shared.value) for x in texts)) if c]
+                found = [[{"context": c, "x": n} for c, n in own.items()] for _, own in counts]
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in counts], pa.int64()), pa.array(found, kind)], names=["h", "found"])
+
+        # copies of a text count once
+        once = texts.mapInArrow(run, "h long, found array<struct<context:string,x:int>>").groupBy("h").agg(F.first("found").alias("found"))
+        part = written(once.select("found").mapInArrow(_summed, "context string, x long").groupBy("context").agg(F.sum("x").alias("x")), "pii-misses")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], "context string, x long")
+
+
+def scored_instances(docs: DataFrame, found: DataFrame, rounds: int = 3, least_seeds: int = 3) -> DataFrame:
     """(instance, trust) of the instances that are no seeds and that a trusted pattern holds."""
-    graph = found.selectExpr("inline(mentions)").selectExpr("explode(patterns) pattern", "instance", "seed", "elsewhere")
-    graph = graph.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.sum("elsewhere").alias("elsewhere"))
+    graph = found.selectExpr("inline(mentions)").selectExpr("explode(patterns) pattern", "instance", "seed")
+    graph = graph.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     # an instance that is a seed anywhere is one everywhere
     seeds = graph.groupBy("instance").agg(F.max("seed").alias("known"))
-    graph = written(graph.join(written(seeds, "pii-seeds"), "instance").select("pattern", "instance", "elsewhere", "known"), "pii-graph")
+    graph = written(graph.join(written(seeds, "pii-seeds"), "instance").select("pattern", "instance", "known"), "pii-graph")
+    # others than these confirm nothing
+    wanted = graph.groupBy("pattern").agg(F.count("*").alias("n"), F.min("known").alias("all_known")).where(F.expr(f"n >= {least_seeds} and not all_known"))
+    wanted = written(wanted.select("pattern", F.substring_index("pattern", "|", -1).alias("context")), "pii-wanted")
+    counts = wanted.join(misses(docs, wanted.select("context").distinct()), "context", "left").select("pattern", F.coalesce("x", F.lit(0)).alias("x"))
+    graph = written(graph.join(written(counts, "pii-counts"), "pattern", "left"), "pii-graph")
     trust = written(graph.select("instance", F.col("known").cast("double").alias("trust")).distinct(), "pii-trust")
     for _ in range(rounds):
-        patterns = graph.join(trust, "instance").groupBy("pattern").agg(F.sum("trust").alias("s"), F.count("*").alias("n"), F.sum("elsewhere").alias("x"), F.sum(F.col("known").cast("long")).alias("seeds"))
+        patterns = graph.where("x is not null").join(trust, "instance").groupBy("pattern").agg(F.sum("trust").alias("s"), F.count("*").alias("n"), F.first("x").alias("x"), F.sum(F.col("known").cast("long")).alias("seeds"))
         patterns = patterns.where(F.col("seeds") >= least_seeds).selectExpr("pattern", "s / (n + x + 1) p")
         by = graph.join(written(patterns, "pii-patterns"), "pattern", "left").groupBy("instance")
         err = F.exp(F.sum(F.log(1 - F.least(F.coalesce("p", F.lit(0.0)), F.lit(0.999)))))
@@ -164,7 +250,7 @@ def scored_instances(found: DataFrame, rounds: int = 3, least_seeds: int = 3) ->
 def find(docs: DataFrame, accept: float = 0.7) -> DataFrame:
     """(doc_id, spans, all_spans): base spans, and these with the ones that contexts confirm; by kind, then start."""
     found = written(mentions(docs).withColumn("row", F.monotonically_increasing_id()), "pii-mentions")
-    good = written(scored_instances(found).where(F.col("trust") >= accept).select("instance"), "pii-found")
+    good = written(scored_instances(docs, found).where(F.col("trust") >= accept).select("instance"), "pii-found")
     loose = found.selectExpr("row", "inline(mentions)").where("not seed").join(good, "instance", "left_semi")
     more = loose.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
     both = found.select("row", "doc_id", "spans").join(written(more, "pii-more"), "row", "left")

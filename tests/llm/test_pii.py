@@ -104,3 +104,17 @@ def test_redacted(spark):
     assert out.columns == edge.columns and out.count() == edge.count()
     [text] = [r.text for r in out.where("doc_id = 17").collect()]
     assert text == "contact me at <EMAIL> or <PHONE>, server <IP>, card <CARD>"
+
+
+def all_spans(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    return {r.doc_id: [tuple(x) for x in r.all_spans] for r in pii.find(docs).collect()}
+
+
+def test_lists_and_copies_speak_for_their_pattern(spark):
+    line = "the hotline number +1 (743) 555-{:04d} {}"
+    lists = [" ".join(line.format(10 * i + j, cases.prose(10 * i + j, 4)) for j in range(4)) for i in range(4)]
+    copied = " ".join(line.format(900 + j, cases.prose(900 + j, 4)) for j in range(2))
+    unseen = [f"{cases.prose(i, 5)} the hotline number (743) 556-{i:04d} {cases.prose(50 + i, 5)}" for i in range(3)]
+    found = all_spans(spark, unseen + lists + [copied] * 100)
+    assert all(len(found[i]) == 1 for i in range(3))
