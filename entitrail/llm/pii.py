@@ -5,7 +5,8 @@ words around a span are its lexical patterns: the two words before it, and the w
 same contexts around loosely shaped identifiers (no valid checksum, spelled-out separators, no country code) make a
 graph of patterns and instances. Spark scores it in rounds: a pattern is trusted by the mean trust of its distinct
 instances, counting each place in distinct texts with mentions where its words stand around anything but a mention as
-an instance without trust; an instance is trusted unless all its patterns err (1 - product of 1 - trust); seeds stay at 1. Instances that end
+an instance without trust; an instance is trusted unless all its patterns err (1 - product of 1 - trust); seeds stay at 1. Instances that
+reach ``accept`` are seeds of further patterns, and rounds go on until none is added. Instances that end
 above ``accept`` give further spans of their kind, wherever they occur in a scored context. Nothing is capped.
 
 Texts are read twice, for spans with contexts and for the places that speak against contexts. Sums are made before the shuffle, so a pattern or an
@@ -17,6 +18,7 @@ table gives no rows; other columns are ignored. Spans are code points, end exclu
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -225,8 +227,11 @@ def misses(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], "context string, x long")
 
 
-def scored_instances(docs: DataFrame, found: DataFrame, rounds: int = 3, least_seeds: int = 3) -> DataFrame:
-    """(instance, trust) of the instances that are no seeds and that a trusted pattern holds."""
+def scored_instances(docs: DataFrame, found: DataFrame, accept: float, rounds: int = 3, least_seeds: int = 3) -> DataFrame:
+    """(instance, trust) of the instances that are no seeds and that a trusted pattern holds.
+
+    Trust never falls from round to round, so the seeds only grow; after ``rounds``, the first round without a new one is the last.
+    """
     graph = found.selectExpr("inline(mentions)").selectExpr("explode(patterns) pattern", "instance", "seed")
     graph = graph.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     # an instance that is a seed anywhere is one everywhere
@@ -238,19 +243,24 @@ def scored_instances(docs: DataFrame, found: DataFrame, rounds: int = 3, least_s
     counts = wanted.join(misses(docs, wanted.select("context").distinct()), "context", "left").select("pattern", F.coalesce("x", F.lit(0)).alias("x"))
     graph = written(graph.join(written(counts, "pii-counts"), "pattern", "left"), "pii-graph")
     trust = written(graph.select("instance", F.col("known").cast("double").alias("trust")).distinct(), "pii-trust")
-    for _ in range(rounds):
-        patterns = graph.where("x is not null").join(trust, "instance").groupBy("pattern").agg(F.sum("trust").alias("s"), F.count("*").alias("n"), F.first("x").alias("x"), F.sum(F.col("known").cast("long")).alias("seeds"))
+    accepted = 0
+    for done in itertools.count(1):
+        patterns = graph.where("x is not null").join(trust, "instance").groupBy("pattern").agg(F.sum("trust").alias("s"), F.count("*").alias("n"), F.first("x").alias("x"), F.count_if(F.col("known") | (F.col("trust") >= accept)).alias("seeds"))
         patterns = patterns.where(F.col("seeds") >= least_seeds).selectExpr("pattern", "s / (n + x + 1) p")
         by = graph.join(written(patterns, "pii-patterns"), "pattern", "left").groupBy("instance")
         err = F.exp(F.sum(F.log(1 - F.least(F.coalesce("p", F.lit(0.0)), F.lit(0.999)))))
-        trust = written(by.agg(F.max("known").alias("known"), (1 - err).alias("t")).selectExpr("instance", "if(known, 1D, t) trust", "known"), "pii-trust").drop("known")
+        trust = written(by.agg(F.max("known").alias("known"), (1 - err).alias("t")).selectExpr("instance", "if(known, 1D, t) trust", "known"), "pii-trust")
+        before, accepted = accepted, trust.where((F.col("trust") >= accept) & ~F.col("known")).count()
+        trust = trust.drop("known")
+        if done >= rounds and accepted == before:
+            break
     return trust.join(graph.where("not known").select("instance").distinct(), "instance", "left_semi")
 
 
 def find(docs: DataFrame, accept: float = 0.7) -> DataFrame:
     """(doc_id, spans, all_spans): base spans, and these with the ones that contexts confirm; by kind, then start."""
     found = written(mentions(docs).withColumn("row", F.monotonically_increasing_id()), "pii-mentions")
-    good = written(scored_instances(docs, found).where(F.col("trust") >= accept).select("instance"), "pii-found")
+    good = written(scored_instances(docs, found, accept).where(F.col("trust") >= accept).select("instance"), "pii-found")
     loose = found.selectExpr("row", "inline(mentions)").where("not seed").join(good, "instance", "left_semi")
     more = loose.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
     both = found.select("row", "doc_id", "spans").join(written(more, "pii-more"), "row", "left")

@@ -118,3 +118,11 @@ def test_lists_and_copies_speak_for_their_pattern(spark):
     unseen = [f"{cases.prose(i, 5)} the hotline number (743) 556-{i:04d} {cases.prose(50 + i, 5)}" for i in range(3)]
     found = all_spans(spark, unseen + lists + [copied] * 100)
     assert all(len(found[i]) == 1 for i in range(3))
+
+
+def test_found_identifiers_are_seeds_of_further_patterns(spark):
+    known = [f"{cases.prose(i, 3)} dial the office line +1 (743) 555-{i:04d} today {cases.prose(i, 5)}" for i in range(30)]
+    linked = [f"{cases.prose(i, 3)} dial the office line (743) 556-{i:04d} today {cases.prose(i, 5)} reach support desk (743) 556-{i:04d} anytime" for i in range(14)]
+    second = [f"{cases.prose(i, 3)} reach support desk (743) 557-{i:04d} anytime {cases.prose(i, 5)}" for i in range(2)]
+    found = all_spans(spark, second + linked + known)
+    assert [len(found[i]) for i in range(2)] == [1, 1] and all(len(found[i]) == 2 for i in range(2, 16))
