@@ -1,11 +1,12 @@
 """Personal data: fixed patterns per kind, and bootstrapped contextual extraction of what they miss.
 
 Base spans are the leftmost non-overlapping matches of a kind's pattern that pass its check. They are the seeds. The
-words around a span are its lexical patterns: the two words before it, and the word before with the word after. The
-same contexts around loosely shaped identifiers (no valid checksum, spelled-out separators, no country code) make a
+words around a span are its lexical patterns: one or two words before it or after it (across line
+breaks, and marked at the start or end of a line), and the word before with the word after. The same contexts around loosely shaped identifiers (no valid checksum, spelled-out separators, no country code) make a
 graph of patterns and instances. Spark scores it in rounds: a pattern is trusted by the mean trust of its distinct
 instances, counting each place in distinct texts with mentions where its words stand around anything but a mention as
-an instance without trust; an instance is trusted unless all its patterns err (1 - product of 1 - trust); seeds stay at 1. Instances that
+an instance without trust; an instance is trusted unless its best patterns before, after and around it
+all err (1 - product of 1 - trust); seeds stay at 1. Instances that
 reach ``accept`` are seeds of further patterns, and rounds go on until none is added. Instances that end
 above ``accept`` give further spans of their kind, wherever they occur in a scored context. Nothing is capped.
 
@@ -22,6 +23,8 @@ import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import mul
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +49,8 @@ _LOOSE = (
 )
 #: A word, with the sign that makes it a label; a mention's mark; line breaks.
 _WORD = re.compile(r"[^\W_]{1,60}[:=#]?|\x00|\n\s*")
+#: Patterns before, after and around a place; those on one side hold each other.
+_SIDES = (r" _$", r"\|(\^ )?_ ", r"[^|^] _ ")
 #: Contexts that a pass over the texts looks for.
 AT_ONCE = 200_000
 
@@ -136,13 +141,24 @@ def _words(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[str], set
 
 
 def _contexts(words: list[str], starts: set[int], i: int) -> list[str]:
-    """What stands around place ``i``, which is written as _."""
+    """What stands around place ``i``, which is written as _, across line breaks; ^ is the start of a line, $ its end."""
     out = []
     if i > 0:
         if i > 1:
             out.append(f"{words[i - 2]} {words[i - 1]} _")
         if i + 1 < len(words):
             out.append(f"{words[i - 1]} _ {words[i + 1]}")
+        out.append(f"{words[i - 1]} _")
+        if i - 1 in starts:
+            out.append(f"^ {words[i - 1]} _")
+    if i + 1 < len(words):
+        out.append(f"_ {words[i + 1]}")
+        if i in starts:
+            out.append(f"^ _ {words[i + 1]}")
+        if i + 2 < len(words):
+            out.append(f"_ {words[i + 1]} {words[i + 2]}")
+        if i + 2 in starts or i + 2 == len(words):
+            out.append(f"_ {words[i + 1]} $")
     return out
 
 
@@ -209,8 +225,8 @@ def misses(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         contexts = frozenset(r.context for r in wanted.where(F.pmod(F.xxhash64("context"), F.lit(passes)) == k).collect())
         split = [c.split(" ") for c in contexts]
         at = [c.index("_") for c in split]
-        before = frozenset(c[i - 1] for c, i in zip(split, at) if i)
-        after = frozenset(c[i + 1] for c, i in zip(split, at) if not i)
+        before = frozenset(c[i - 1] for c, i in zip(split, at) if i and c[i - 1] != "^")
+        after = frozenset(c[i + 1] for c, i in zip(split, at) if not i or c[i - 1] == "^")
         shared = spark.sparkContext.broadcast((contexts, before, after))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -248,7 +264,7 @@ def scored_instances(docs: DataFrame, found: DataFrame, accept: float, rounds: i
         patterns = graph.where("x is not null").join(trust, "instance").groupBy("pattern").agg(F.sum("trust").alias("s"), F.count("*").alias("n"), F.first("x").alias("x"), F.count_if(F.col("known") | (F.col("trust") >= accept)).alias("seeds"))
         patterns = patterns.where(F.col("seeds") >= least_seeds).selectExpr("pattern", "s / (n + x + 1) p")
         by = graph.join(written(patterns, "pii-patterns"), "pattern", "left").groupBy("instance")
-        err = F.exp(F.sum(F.log(1 - F.least(F.coalesce("p", F.lit(0.0)), F.lit(0.999)))))
+        err = reduce(mul, (1 - F.least(F.coalesce(F.max(F.when(F.col("pattern").rlike(side), F.col("p"))), F.lit(0.0)), F.lit(0.999)) for side in _SIDES))
         trust = written(by.agg(F.max("known").alias("known"), (1 - err).alias("t")).selectExpr("instance", "if(known, 1D, t) trust", "known"), "pii-trust")
         before, accepted = accepted, trust.where((F.col("trust") >= accept) & ~F.col("known")).count()
         trust = trust.drop("known")

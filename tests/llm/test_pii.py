@@ -126,3 +126,15 @@ def test_found_identifiers_are_seeds_of_further_patterns(spark):
     second = [f"{cases.prose(i, 3)} reach support desk (743) 557-{i:04d} anytime {cases.prose(i, 5)}" for i in range(2)]
     found = all_spans(spark, second + linked + known)
     assert [len(found[i]) for i in range(2)] == [1, 1] and all(len(found[i]) == 2 for i in range(2, 16))
+
+
+def test_contexts_of_one_word_of_lines_and_after(spark):
+    def texts(form, word):
+        known = [form.format(f"+1 (743) 555-{word}{i:02d}", cases.prose(i, 6)) for i in range(12)]
+        return known, [form.format(f"(743) 556-{word}{i:02d}", cases.prose(30 + i, 6)) for i in range(2)]
+
+    forms = ["Phone: {0}\n{1}", "{1} Mobiltelefon\n{0}\n{1}", "{0} belongs to {1}", "{1}\n{0} extension\n{1}", "{1}\nRufnummer {0}\n{1}"]
+    parts = [texts(f, f"{k}7") for k, f in enumerate(forms)]
+    unseen = [x for _, own in parts for x in own]
+    found = all_spans(spark, unseen + [x for known, _ in parts for x in known])
+    assert [len(found[i]) for i in range(len(unseen))] == [1] * len(unseen)
