@@ -1,17 +1,18 @@
 """Personal data: fixed patterns per kind, and bootstrapped contextual extraction of what they miss.
 
 Base spans are the leftmost non-overlapping matches of a kind's pattern that pass its check. They are the seeds. The
-words around a span are its lexical patterns: one or two words before it or after it (across line
-breaks, and marked at the start or end of a line), and the word before with the word after. The same contexts around loosely shaped identifiers (no valid checksum, spelled-out separators, no country code) make a
-graph of patterns and instances. Spark scores it in rounds: a pattern is trusted by the mean trust of its distinct
-instances, counting each place in distinct texts with mentions where its words stand around anything but a mention as
-an instance without trust; an instance is trusted unless its best patterns before, after and around it
-all err (1 - product of 1 - trust); seeds stay at 1. Instances that
-reach ``accept`` are seeds of further patterns, and rounds go on until none is added. Instances that end
-above ``accept`` give further spans of their kind, wherever they occur in a scored context. Nothing is capped.
-
-Texts are read twice, for spans with contexts and for the places that speak against contexts. Sums are made before the shuffle, so a pattern or an
-instance with a third of all rows is no hot key there; the score tables that joins look up are written tables.
+words around a span are its lexical patterns: one or two words before it or after it (across line breaks, and marked at
+the start or end of a line), and the word before with the word after. The same contexts around loosely shaped
+identifiers (no valid checksum, spelled-out separators, no country code) make a graph of patterns and instances. Spark
+scores it in rounds: a pattern is trusted by the mean trust of its distinct instances, counting each place in all
+distinct texts where its words stand around anything but a mention as an instance without trust; an instance is trusted
+unless its best patterns before, after and around it all err (1 - product of 1 - trust); seeds stay at 1. Instances that
+reach ``accept`` are seeds of further patterns, and rounds go on until none is added. Those that end above ``accept``
+give further spans of their kind, wherever they occur in a scored context. Nothing is capped.
+
+Texts are read twice, for spans with contexts and for the places that speak against contexts. Sums are made before the
+shuffle, so a pattern or an instance with a third of all rows is no hot key there; the score tables that joins look up
+are written tables.
 
 Defined cases: a null or empty text has no spans; ``doc_id`` may be null or repeat, each row gives a row; an empty
 table gives no rows; other columns are ignored. Spans are code points, end exclusive.
@@ -194,8 +195,6 @@ def mentions(docs: DataFrame) -> DataFrame:
 def _counted(text: str, contexts: frozenset[str], before: frozenset[str], after: frozenset[str]) -> Counter:
     """How often each of ``contexts`` stands around something that is no mention; one of its inner words is in ``before`` or ``after``."""
     own, loose = _found(text)
-    if not own and not loose:
-        return Counter()
     words, starts, _ = _words(text, own + loose)
     places = {i + 1 for i, w in enumerate(words) if w in before} | {i - 1 for i, w in enumerate(words) if w in after}
     places = [i for i in places if 0 <= i < len(words) and words[i] != "\x00"]

@@ -138,3 +138,11 @@ def test_contexts_of_one_word_of_lines_and_after(spark):
     unseen = [x for _, own in parts for x in own]
     found = all_spans(spark, unseen + [x for known, _ in parts for x in known])
     assert [len(found[i]) for i in range(len(unseen))] == [1] * len(unseen)
+
+
+def test_clean_texts_speak_against_a_pattern(spark):
+    known = [f"{cases.prose(i, 3)} seen at counter +1 (743) 555-{i:04d} {cases.prose(i, 5)}" for i in range(12)]
+    loose = [f"{cases.prose(i, 3)} seen at counter 744 557 {i:04d} {cases.prose(i, 5)}" for i in range(3)]
+    clean = [f"{cases.prose(i, 3)} seen at counter {cases.prose(100 + i, 5)}" for i in range(60)]
+    found = all_spans(spark, loose + known + clean)
+    assert [found[i] for i in range(3)] == [[]] * 3
