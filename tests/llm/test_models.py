@@ -85,3 +85,27 @@ def test_probabilities_sum_to_one_over_letters():
 
 def test_long_words_are_read_whole():
     assert "".join(toxicity.words("x" * 200 + "Moron")) == "x" * 200 + "moron"
+
+
+def _folds(spark, toxic_folds):
+    """Texts of both classes in folds 0 to 3, the toxic ones only labelled in some."""
+    import zlib
+
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    rows = [(i, cases.prose(i, 20) + (" vilescum rotscum" if i % 10 == 0 else " kindly thanks")) for i in range(600)]
+    labels = [(i, int(i % 10 == 0)) for i, _ in rows if fold(i) != 2 and (i % 10 or fold(i) in toxic_folds)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_toxic_rows_are_told_without_any_in_the_regression(spark):
+    docs, labels = _folds(spark, (0, 1))
+    scores = {r.doc_id: r.score for r in toxicity.scored(docs, labels).collect()}
+    assert np.mean([scores[i] >= toxicity.THRESHOLD for i in range(0, 600, 10)]) >= 0.9
+    assert np.mean([scores[i] >= toxicity.THRESHOLD for i in range(600) if i % 10]) <= 0.1
+
+
+def test_the_regression_samples_each_class(spark):
+    docs, labels = _folds(spark, (0, 1, 3))
+    absent = spark.createDataFrame([(i, 0) for i in range(10_000, 40_000)], "doc_id long, toxic int")
+    found = toxicity.fit(docs, labels.unionByName(absent), sample=8)
+    assert isinstance(found, toxicity.Scorer)
