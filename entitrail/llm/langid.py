@@ -137,14 +137,18 @@ def _best(model: Model | None, texts: list[str]) -> tuple[list[str], list[float]
 
 
 def kept_rows(docs: DataFrame, model: Model | None, least: float = 0.0) -> DataFrame:
-    """All columns of the rows whose language is told with a score of at least ``least``."""
+    """All columns of the rows whose language is told with a score of at least ``least``; without a model, of those with a letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in column_slices(batches, at):
-            lang, score = _best(shared.value, [x or "" for x in part.column(at).to_pylist()])
-            yield part.filter(pa.array([k != "und" and s >= least for k, s in zip(lang, score)], pa.bool_()))
+            texts = [x or "" for x in part.column(at).to_pylist()]
+            if shared.value is None:
+                kept = [_LETTER.search(x) is not None for x in texts]
+            else:
+                kept = [k != "und" and s >= least for k, s in zip(*_best(shared.value, texts))]
+            yield part.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

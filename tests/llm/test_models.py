@@ -109,3 +109,8 @@ def test_the_regression_samples_each_class(spark):
     absent = spark.createDataFrame([(i, 0) for i in range(10_000, 40_000)], "doc_id long, toxic int")
     found = toxicity.fit(docs, labels.unionByName(absent), sample=8)
     assert isinstance(found, toxicity.Scorer)
+
+
+def test_lettered_rows_stay_when_nothing_could_be_learned(spark):
+    docs = spark.createDataFrame([(0, "some words", None), (1, "12 34", None), (2, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in langid.kept_rows(docs, langid.fit(docs, F.lit(True))).collect()] == [0]
