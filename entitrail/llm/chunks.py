@@ -120,6 +120,47 @@ _LOWER_WORDS = {
 }
 
 
+class _Known:
+    """The ids of words of up to LONGEST bytes, found by 128-bit keys: sums of fixed random numbers by place and byte, all words at once."""
+
+    LONGEST = 32
+    _random = np.random.default_rng(20240101).integers(0, 1 << 64, (2, LONGEST, 256), dtype=np.uint64)
+
+    def __init__(self):
+        self.key, self.other = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def keys(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, other key, whether the word is short enough to have them)."""
+        offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        size = np.diff(offsets)
+        place = np.minimum(np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], size), self.LONGEST - 1)
+        out = []
+        for table in self._random:
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[place, data], dtype=np.uint64)])
+            out.append(total[offsets[1:] - offsets[0]] - total[offsets[:-1] - offsets[0]] + size.astype(np.uint64) * table[0, 0])
+        return out[0], out[1], size <= self.LONGEST
+
+    def at(self, key: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Where each is, or -1."""
+        if not len(self.key):
+            return np.full(len(key), -1)
+        order, at = np.argsort(key), np.empty(len(key), dtype=np.int64)
+        at[order] = np.searchsorted(self.key, key[order])  # in order, neighbours are looked up together
+        at = np.minimum(at, len(self.key) - 1)
+        return np.where((self.key[at] == key) & (self.other[at] == other), at, -1)
+
+    def add(self, key: np.ndarray, other: np.ndarray, ids: list[bytes]) -> None:
+        order = np.argsort(key, kind="stable")
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        start = np.cumsum(size) - size + len(self.ids)
+        at = np.searchsorted(self.key, key[order])
+        for name, new in (("key", key), ("other", other), ("start", start), ("size", size)):
+            setattr(self, name, np.insert(getattr(self, name), at, new[order]))
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")])
+
+
 class WordIds:
     """Ids of texts whose white space is dropped: parts between spaces are numbered as Arrow columns and merged once each."""
 
@@ -130,7 +171,7 @@ class WordIds:
         split = _LOWER_WORDS["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.merge = tiktoken.Encoding("file", pat_str=split, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self.find, self.library, self.most = regex.compile(split).findall, library, most
-        self.known: dict[str, bytes] = {}
+        self.known = _Known()
 
     def part(self, text: str) -> bytes:
         low = text.lower()  # below 0x250 the text is its own composed form, and letters change one by one
@@ -141,23 +182,29 @@ class WordIds:
         return array("I", [i for word in self.find(low) for i in self.merge(word.encode() + b"\xff")]).tobytes()
 
     def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > self.most:
-            self.known.clear()
-        parts = pc.split_pattern(texts.fill_null(""), " ")
+        if len(self.known.key) > self.most:
+            self.known = _Known()
+        parts = pc.split_pattern(texts.cast(pa.string()).fill_null(""), " ")
         counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
         coded = parts.flatten().dictionary_encode()
-        known, own = self.known, coded.dictionary.to_pylist()
-        for x in own:
-            if x not in known:
-                known[x] = self.part(x)
-        ids = [known[x] for x in own]
-        flat = np.frombuffer(b"".join(ids), dtype="<u4")
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        at = coded.indices.to_numpy(zero_copy_only=False)
-        n = size[at]
+        words, known = coded.dictionary, self.known
+        key, other, short = known.keys(words)
+        at = known.at(key, other)
+        new = np.flatnonzero(short & (at < 0))
+        if len(new):
+            known.add(key[new], other[new], [self.part(x) for x in words.take(pa.array(new)).to_pylist()])
+            at = known.at(key, other)
+        size, start, ids = known.size[at], known.start[at], known.ids
+        long = np.flatnonzero(~short)
+        if len(long):  # not remembered
+            own = [self.part(x) for x in words.take(pa.array(long)).to_pylist()]
+            size[long] = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
+            start[long] = len(ids) + np.cumsum(size[long]) - size[long]
+            ids = np.concatenate([ids, np.frombuffer(b"".join(own), "<u4")])
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[which]
         total = np.cumsum(n)
-        start = (np.cumsum(size) - size)[at] - (total - n)
-        out = flat[np.repeat(start, n) + np.arange(total[-1] if len(total) else 0)]
+        out = ids[np.repeat(start[which] - (total - n), n) + np.arange(total[-1] if len(total) else 0)]
         ends = np.concatenate([[0], total])[np.cumsum(counts)]
         return out, np.diff(ends, prepend=0)
 

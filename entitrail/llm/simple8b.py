@@ -13,6 +13,7 @@ of their texts' hashes and are kept each; null ids come first; an empty table gi
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import library_coder
-from .common import column_slices, table, work_dir
+from .common import column_slices, table, work_dir, written
 from .files import read_blobs, write_blobs
 
 BLOCK = 256
@@ -201,24 +202,18 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return read_blobs(spark, path).mapInArrow(run, "part int, number int, place int, doc_id long, before long, n_tokens long, ids binary")
 
 
-def file_starts(spark: SparkSession, path: str) -> DataFrame:
-    """(part, number, file_start): the ids in all files before. Range totals, one per range, meet in the driver; files are summed within their range."""
+def with_starts(found: DataFrame) -> DataFrame:
+    """``found``, a written table of (part, number, before, n_tokens, ...), with ``start``: the ids of all documents before.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            heads = [struct.unpack_from(_HEAD, x.as_buffer()) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in heads], kind) for k, kind in ((1, pa.int32()), (2, pa.int32()), (4, pa.int64()))], names=["part", "number", "n_ids"])
-
-    files = read_blobs(spark, path).mapInArrow(run, "part int, number int, n_ids long")
+    Totals of files are summed within their range, totals of ranges, one per shuffle partition, in the driver.
+    """
+    files = found.groupBy("part", "number").agg(F.max(F.col("before") + F.col("n_tokens")).alias("n_ids"))
     totals = sorted((r.part, r.n) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
-    base, starts = 0, []
-    for part, n in totals:
-        starts.append((part, base))
-        base += n
+    bases = [(part, end - n) for (part, n), end in zip(totals, itertools.accumulate(n for _, n in totals))]
+    starts = files.selectExpr("part", "number", "sum(n_ids) over (partition by part order by number) - n_ids own")
     # one row per range of the written order, so the lookup is as small as the number of shuffle partitions
-    bases = spark.createDataFrame(starts, "part int, base long")
-    summed = files.selectExpr("part", "number", "sum(n_ids) over (partition by part order by number) - n_ids own")
-    return summed.join(F.broadcast(bases), "part").selectExpr("part", "number", "base + own file_start")
+    starts = starts.join(F.broadcast(found.sparkSession.createDataFrame(bases, "part int, base long")), "part")
+    return found.join(starts, ["part", "number"]).withColumn("start", F.col("base") + F.col("own") + F.col("before")).drop("base", "own")
 
 
 def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,5 +222,4 @@ def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "simple8b")
     write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     found = read_ids(spark, path).select("part", "number", "doc_id", "before", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-    found = found.join(file_starts(spark, path), ["part", "number"])
-    return found.select("doc_id", (F.col("file_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    return with_starts(written(found, "simple8b-read")).select("doc_id", "start", "n_tokens", "ids_crc32")

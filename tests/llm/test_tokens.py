@@ -46,6 +46,17 @@ def test_coders_equal_the_library(name):
     fuzzed()
 
 
+def test_words_are_remembered_by_exact_keys():
+    whole, coder = library(FILES[1]), library_coder(P.path(FILES[1]))
+    r = np.random.default_rng(3)
+    texts = [" ".join("".join(map(chr, r.choice([97, 98, 65, 233, 48, 33], r.integers(0, 45)))) for _ in range(60)) for _ in range(40)]
+    for _ in range(2):
+        assert parts(coder, texts) == [whole(t) for t in texts]
+    sliced = pa.array(["skipped", *texts], pa.string()).slice(1)
+    flat, sizes = coder.flat(sliced)
+    assert flat.tolist() == [i for t in texts for i in whole(t)] and sizes.sum() == len(flat)
+
+
 def test_chunks_equal_the_whole():
     whole = library(FILES[0])
     plain = IdBytes(lambda texts: [np.array(whole(t), dtype="<u4").tobytes() for t in texts], most=10)
@@ -104,10 +115,10 @@ def test_simple8b_is_compact():
 def check_ids(spark, docs, expected, path):
     simple8b.write_ids(docs, path, P.path(FILES[1]), file_ids=1000)
     whole = library(FILES[1])
-    rows = simple8b.read_ids(spark, path).join(simple8b.file_starts(spark, path), ["part", "number"]).collect()
-    rows.sort(key=lambda r: r.file_start + r.before)
+    rows = simple8b.with_starts(simple8b.read_ids(spark, path)).collect()
+    rows.sort(key=lambda r: r.start)
     assert [r.doc_id for r in rows] == sorted((i for i, _ in expected), key=lambda i: (i is not None, i or 0))
-    starts = [r.file_start + r.before for r in rows]
+    starts = [r.start for r in rows]
     assert starts == [0, *itertools.accumulate(r.n_tokens for r in rows)][: len(rows)]
     want = sorted((-1 if i is None else i, (*whole(t), 2)) for i, t in expected)
     assert sorted((-1 if r.doc_id is None else r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in rows) == want
