@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -18,10 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only a session without one (tests) gets a local folder."""
+    """A new folder below ``spark.checkpoint.dir``, which all executors must share; without that setting there is none."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "entitrail-work")
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -39,13 +38,25 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like ``wanted`` that no column of ``df`` has, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for x in itertools.chain([w], (f"{w}_{n}" for n in itertools.count(1))) if x.lower() not in taken) for w in wanted]
+
+
+def by_id_and_text(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined (left_semi or left_anti) with ``keys`` (doc_id, text_hash), where a null id equals a null id."""
+    a, b = free_names(docs, "key_id", "key_hash")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(a)) & (F.xxhash64("text") == F.col(b))
+    return docs.join(keys.select(F.col("doc_id").alias(a), F.col("text_hash").alias(b)), same, how)
+
+
 def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """``docs`` less the rows of ``removed`` (doc_id[, text_hash]), a written table; by both, a null id equals a null id."""
-    if "text_hash" not in removed.columns:
-        return docs.join(removed.select(F.col("doc_id").alias("__id")), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
-    gone = removed.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
-    return docs.join(gone, same, "left_anti")
+    if "text_hash" in removed.columns:
+        return by_id_and_text(docs, removed, "left_anti")
+    [a] = free_names(docs, "key_id")
+    return docs.join(removed.select(F.col("doc_id").alias(a)), F.col("doc_id").cast("long") == F.col(a), "left_anti")
 
 
 #: Characters of text that Python code takes from an Arrow batch at a time.

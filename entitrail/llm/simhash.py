@@ -1,12 +1,19 @@
 """SimHash near-duplicates: 64-bit fingerprints linked at a small Hamming distance, and their components.
 
-Fingerprints are reduced to classes of equal value first; copies are never expanded into pairs. With blocks of bits,
-``max_distance`` differing bits leave at least ``n - max_distance`` of ``n`` blocks equal, so fingerprints that share
-the bits of some such choice of blocks are all that can link: this finds every link. Within a bucket of one choice
-and its bits, a table of distances to reference fingerprints (pivots) is precomputed; by the triangle inequality a pair whose
-distances to any pivot differ by more than ``max_distance`` cannot link and is discarded, and the rest is verified.
-A bucket of more than LARGE classes gives a spanning forest instead of pairs, found by growing components; a bucket of
-more than ``most`` classes is cut into parts and each two parts are searched together, in tasks of their own.
+Fingerprints are reduced to classes of equal value first; copies are never expanded into pairs. For each class a pivot
+table is computed once: its Hamming distances to reference fingerprints. These are zero, one reference for each two
+neighbouring bits (both set), and some well-mixed ones.
+
+Candidates come from the table alone. The distances to zero and to a reference of two bits tell how many of these two are
+set, so a class has 32 such coordinates; fingerprints at ``max_distance`` or less differ in at most that many of them.
+With the coordinates dealt into ``max_distance + extra`` groups, two linked classes agree in all coordinates of at least
+``extra`` groups: the cells that a choice of groups gives are join keys, and no link is lost. Within a cell, pairs whose
+distances to any reference differ by more than ``max_distance`` are discarded (triangle inequality), the rest is verified.
+
+A cell of more than LARGE classes gives a spanning forest instead of pairs, found by growing components. Classes in cells
+of more than ``most`` are taken together and dealt anew by more and longer keys; what is still in such cells after the
+last dealing is so alike that a forest is found in few steps, and such a cell is cut into parts, each two of which are
+searched together, in tasks of their own.
 
 Defined cases: a null, empty or blank text has fingerprint zero, linked like any other; fewer words than a shingle
 are one shingle; ``doc_id`` may repeat (a row each) or be null (such rows link, but name no component unless all ids
@@ -23,12 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_slices, spread, table, without, written
+from .common import by_id_and_text, column_slices, free_names, spread, table, without, written
 from .components import components
 
-#: Buckets of more classes than this give a spanning forest.
+#: Cells of more classes than this give a spanning forest.
 LARGE = 64
-N_PIVOTS = 16
+#: Bits whose number a coordinate tells.
+PAIR = 2
+N_MIXED = 16
+#: Groups that linked classes must agree in, by dealing; more classes start further on.
+EXTRA = (2, 3, 4)
 
 
 def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
@@ -61,21 +72,38 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
     return spread(docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) text_hash")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
-def _pivots() -> np.ndarray:
-    """Reference fingerprints: a fixed, well-mixed sequence."""
-    x = np.arange(1, N_PIVOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def references() -> np.ndarray:
+    """Zero, the pairs of neighbouring bits, and a fixed, well-mixed sequence."""
+    pairs = np.uint64((1 << PAIR) - 1) << np.arange(0, 64, PAIR, dtype=np.uint64)
+    x = np.arange(1, N_MIXED + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    return np.concatenate([np.zeros(1, np.uint64), pairs, x ^ (x >> np.uint64(31))])
+
+
+def pivot_table(fps: np.ndarray) -> np.ndarray:
+    """A row of distances to the references per fingerprint."""
+    return np.bitwise_count(fps[:, None] ^ references()[None, :]).astype(np.int8)
 
 
-def _distances(fps: np.ndarray) -> np.ndarray:
-    """The pivot table: one row of N_PIVOTS distances per fingerprint."""
-    return np.bitwise_count(fps[:, None] ^ _pivots()[None, :]).astype(np.int8)
+def cells(distances: np.ndarray, groups: int, agree: int) -> np.ndarray:
+    """A row of keys per row of the pivot table: one for each choice of ``agree`` of ``groups`` groups of coordinates."""
+    n = 64 // PAIR
+    inside = (distances[:, :1] - distances[:, 1 : 1 + n] + PAIR) // 2  # bits set of each pair
+    own = []
+    for a, b in itertools.pairwise(n * i // groups for i in range(groups + 1)):
+        own.append(inside[:, a:b].astype(np.int64) @ (PAIR + 1) ** np.arange(b - a, dtype=np.int64))
+    keys = []
+    for choice in itertools.combinations(range(groups), agree):
+        key = np.zeros(len(distances), dtype=np.int64)
+        for g in choice:  # 3 ** 32 is less than 2 ** 51
+            key = key * (PAIR + 1) ** (n * (g + 1) // groups - n * g // groups) + own[g]
+        keys.append(key)
+    return np.stack(keys, axis=1)
 
 
 def _linked(fps: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs of positions, those within ``most`` bits: the pivot table discards, the rest is verified."""
+    """Of the pairs of positions, those within ``most`` bits: the largest difference of distances discards, the rest is verified."""
     near = np.abs(table[a] - table[b]).max(axis=1) <= most if len(a) else np.zeros(0, bool)
     a, b = a[near], b[near]
     ok = np.bitwise_count(fps[a] ^ fps[b]) <= most
@@ -114,7 +142,7 @@ def bucket_links(keys: list[np.ndarray], fps: np.ndarray, most: int) -> tuple[np
     from_, to = [], []
     keep = np.flatnonzero((size[run] > 1) & (size[run] <= LARGE))
     f, r = fps[keep], run[keep]
-    table, step = _distances(f), 1
+    table, step = pivot_table(f), 1
     while step < len(f):
         a = np.flatnonzero(r[step:] == r[:-step])
         if not len(a):
@@ -125,40 +153,55 @@ def bucket_links(keys: list[np.ndarray], fps: np.ndarray, most: int) -> tuple[np
         step += 1
     for large in np.flatnonzero(size > LARGE):
         f = fps[run == large]
-        x, y = _forest(f, _distances(f), most)
+        x, y = _forest(f, pivot_table(f), most)
         from_.append(f[x])
         to.append(f[y])
     none = np.zeros(0, np.uint64)
     return (np.concatenate(from_), np.concatenate(to)) if from_ else (none, none)
 
 
-def block_masks(n_blocks: int, max_distance: int) -> list[int]:
-    """The bits of every choice of ``n_blocks - max_distance`` blocks, as signed longs."""
-    cuts = [64 * i // n_blocks for i in range(n_blocks + 1)]
-    blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in itertools.pairwise(cuts)]
-    masks = [sum(c) for c in itertools.combinations(blocks, n_blocks - max_distance)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+def keyed(classes: DataFrame, extra: int, max_distance: int) -> DataFrame:
+    """(fp, c, k): the cells of each class, ``c`` numbers the choice of groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                fp = batch.column(0).slice(at, 4096).to_numpy(zero_copy_only=False)
+                k = cells(pivot_table(fp.astype(np.uint64)), max_distance + extra, extra)
+                c = np.tile(np.arange(k.shape[1], dtype=np.int32), len(fp))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fp, k.shape[1])), pa.array(c), pa.array(k.ravel())], names=["fp", "c", "k"])
+
+    return classes.select("fp").mapInArrow(run, "fp long, c int, k long")
 
 
-def links(classes: DataFrame, max_distance: int = 4, most: int = 20_000) -> DataFrame:
+def links(classes: DataFrame, max_distance: int = 4, most: int = 20_000, extra: tuple[int, ...] | None = None) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fp`` that connect all which are linked."""
     spark = classes.sparkSession
-    n = classes.count()
-    # more and longer keys for more classes: a bucket of random fingerprints stays small
-    masks = block_masks(max_distance + (2 if n < 1 << 21 else 3 if n < 1 << 27 else 4), max_distance)
-    key = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])).alias("key")
-    keys = classes.select("fp", key).select("fp", "key.c", "key.k")
-    most = max(most, len(masks) * n // 10_000)  # at most 10,000 keys can hold more rows than this
-    hot = keys.groupBy("c", "k").count().where(F.col("count") > most).collect()
-    keys = keys.withColumn("s", F.lit(0))
-    if hot:
-        parts = F.broadcast(spark.createDataFrame([(r["c"], r["k"], -(-2 * r["count"] // most)) for r in hot], "c int, k long, parts int"))
-        own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, own) * F.col("parts") + F.greatest(o, own))
-        keys = keys.join(parts, ["c", "k"], "left").withColumn("s", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(pairs))).select("fp", "c", "k", "s")
+    if extra is None:  # longer keys for more classes: a cell of fingerprints at random stays small
+        n = classes.count()
+        extra = EXTRA[0 if n < 1 << 21 else 1 if n < 1 << 27 else 2 :]
+    keys = keyed(classes, extra[0], max_distance)
+    hot = written(keys.groupBy("c", "k").count().where(F.col("count") > most), "simhash-hot")
+    n_hot = hot.count()
+    if not n_hot:
+        return _found(keys.withColumn("s", F.lit(0)), max_distance).distinct()
+    side = F.broadcast(hot) if n_hot <= 100_000 else hot  # 20 bytes each
+    rest = _found(keys.join(side, ["c", "k"], "left_anti").withColumn("s", F.lit(0)), max_distance)
+    if extra[1:]:
+        again = written(keys.join(side, ["c", "k"], "left_semi").select("fp").distinct(), "simhash-again")
+        return rest.unionByName(links(again, max_distance, most, extra[1:])).distinct()
+    parts = F.ceil(2 * F.col("count") / most).cast("int")
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, own) * F.col("parts") + F.greatest(o, own))
+    cut = keys.join(side.withColumn("parts", parts), ["c", "k"]).withColumn("s", F.explode(pairs)).select("fp", "c", "k", "s")
+    return rest.unionByName(_found(cut, max_distance)).distinct()
+
+
+def _found(keys: DataFrame, max_distance: int) -> DataFrame:
+    """(a, b): links among the classes of each (c, k, s)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last bucket may go on in the next batch
+        held = None  # the last cell may go on in the next batch
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
                 columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -178,9 +221,9 @@ def links(classes: DataFrame, max_distance: int = 4, most: int = 20_000) -> Data
                 a, b = bucket_links(now[1:], now[0].astype(np.uint64), max_distance)
                 yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["a", "b"])
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keys.select("fp", "c", "k", "s").repartition(parts, "c", "k", "s").sortWithinPartitions("c", "k", "s")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, max_distance: int = 4) -> DataFrame:
@@ -211,8 +254,9 @@ def one_of_each(docs: DataFrame, max_distance: int = 4) -> DataFrame:
     again = written(copies.where("count > 1").join(first, "label").where(key.eqNullSafe(F.col("first"))).select("doc_id", "text_hash"), "simhash-again")
     if not again.limit(1).count():
         return kept
-    repeated = kept.join(again.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_semi")
-    return without(kept, again).unionByName(repeated.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).drop("__hash"))
+    [own] = free_names(kept, "key_hash")
+    repeated = by_id_and_text(kept, again, "left_semi").withColumn(own, F.xxhash64("text")).dropDuplicates(["doc_id", own]).drop(own)
+    return without(kept, again).unionByName(repeated)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,7 +64,19 @@ def fingerprints():
     return found
 
 
-@pytest.mark.parametrize("most, large", [(20_000, 64), (20, 8)])
+def test_cells_come_from_the_pivot_table_and_lose_no_link():
+    r = np.random.default_rng(7)
+    x = r.integers(0, 1 << 64, 500, dtype=np.uint64)
+    bits = np.argsort(r.random((500, 64)), axis=1)[:, :4].astype(np.uint64)
+    y = x ^ np.bitwise_or.reduce(np.uint64(1) << bits, axis=1)
+    table = simhash.pivot_table(x)
+    assert (table[:, 0] == np.bitwise_count(x)).all() and (np.abs(table - simhash.pivot_table(y)) <= 4).all()
+    for extra in simhash.EXTRA:
+        a, b = (simhash.cells(simhash.pivot_table(f), 4 + extra, extra) for f in (x, y))
+        assert (a == b).any(axis=1).all()
+
+
+@pytest.mark.parametrize("most, large", [(20_000, 64), (20, 8), (4, 2)])
 def test_links_connect_all(spark, monkeypatch, most, large):
     monkeypatch.setattr(simhash, "LARGE", large)
     found = fingerprints()
@@ -115,3 +127,11 @@ def test_one_of_each(spark):
     fps = [plain_fingerprint(r.text or "") for r in kept.collect()]
     group = plain_components([plain_fingerprint(t or "") for _, t in cases.texts()])
     assert sorted(group[f] for f in fps) == sorted(set(group.values()))
+
+
+def test_one_of_each_with_repeated_ids_and_clashing_names(spark):
+    rows = [(1, "a b c d", "x", 1), (1, "a b c d", "y", 2), (1, "quite another text here", "z", 3), (None, "a b c d", "w", 4), (2, "a b c d", "v", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key_hash string, KEY_ID int")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("1", "quite another text here"), ("None", "a b c d")]
