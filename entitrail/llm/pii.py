@@ -1,6 +1,7 @@
 """Personal data: fixed patterns per kind, and bootstrapped contextual extraction of what they miss.
 
-Base spans are the leftmost non-overlapping matches of a kind's pattern that pass its check. They are the seeds. The
+Base spans are the leftmost non-overlapping matches of a kind's pattern that pass its check. They are the seeds; values
+that are assigned to a name like token or password are the seeds of a fifth kind, secret, which has no base spans. The
 words around a span are its lexical patterns: one or two words before it or after it (across line breaks, and marked at
 the start or end of a line), and the word before with the word after. The same contexts around loosely shaped
 identifiers (no valid checksum, spelled-out separators, no country code) make a graph of patterns and instances. Spark
@@ -8,7 +9,7 @@ scores it in rounds: a pattern is trusted by the mean trust of its distinct inst
 distinct texts where its words stand around anything but a mention as an instance without trust; an instance is trusted
 unless its best patterns before, after and around it all err (1 - product of 1 - trust); seeds stay at 1. Instances that
 reach ``accept`` are seeds of further patterns, and rounds go on until none is added. Those that end above ``accept``
-give further spans of their kind, wherever they occur in a scored context. Nothing is capped.
+give further spans of their kind, wherever they occur in a scored context. No form, word or list has a longest length.
 
 Texts are read twice, for spans with contexts and for the places that speak against contexts. Sums are made before the
 shuffle, so a pattern or an instance with a third of all rows is no hot key there; the score tables that joins look up
@@ -20,6 +21,7 @@ table gives no rows; other columns are ignored. Spans are code points, end exclu
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import re
 from collections import Counter
@@ -31,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spread, table, text_slices, written
+from .common import column_slices, free_names, spread, table, text_slices, written
 
 KINDS = ("email", "ip", "card", "phone")
+NAMES = (*KINDS, "secret")
+SECRET = len(KINDS)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: A match that starts inside a run of digits would also start at the run's first digit, so only that is tried.
@@ -41,15 +45,20 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]|[(\[] ?at ?[)\]]")
-#: Loose shapes of what contexts may confirm.
+#: A value that is assigned to the name of a secret.
+_ASSIGNED = re.compile(r"(?<![^\W_])(?:token|secret|passwo?r?d|pwd|api[_-]?key|access[_-]?key|auth)[\"']?[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9_+/=-]{16,})", re.IGNORECASE)
+#: Loose shapes of what contexts may confirm; an email's is found from its sign to both sides.
+_SIGN = re.compile(r"@| ?[(\[] ?at ?[)\]] ?")
+_NAME = frozenset(".%+-_")
+_HOST = re.compile(r"[\w-]+(?:(?:\.| ?[(\[] ?dot ?[)\]] ?)[\w-]+)*")
 _LOOSE = (
-    re.compile(r"[\w.%+-]{1,64}(?:@| ?[(\[] ?at ?[)\]] ?)[\w-]{1,64}(?:(?:\.| ?[(\[] ?dot ?[)\]] ?)[\w-]{1,64}){0,8}"),
-    re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![\w:])"),
-    re.compile(r"(?<![\w.+-])[0-9](?:[ ./-]?[0-9]){11,18}(?![\w-])"),
-    re.compile(r"(?<![\w.+-])\(?[0-9](?:[ ().\-/]{0,2}[0-9]){6,14}(?![\w-])"),
+    (1, re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![\w:])")),
+    (2, re.compile(r"(?<![\w.+-])[0-9](?:[ ./-]?[0-9]){11,18}(?![\w-])")),
+    (3, re.compile(r"(?<![\w.+-])\(?[0-9](?:[ ().\-/]{0,2}[0-9]){6,14}(?![\w-])")),
+    (SECRET, re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}(?![A-Za-z0-9_+/=-])")),
 )
 #: A word, with the sign that makes it a label; a mention's mark; line breaks.
-_WORD = re.compile(r"[^\W_]{1,60}[:=#]?|\x00|\n\s*")
+_WORD = re.compile(r"[^\W_]+[:=#]?|\x00|\n\s*")
 #: Patterns before, after and around a place; those on one side hold each other.
 _SIDES = (r" _$", r"\|(\^ )?_ ", r"[^|^] _ ")
 #: Contexts that a pass over the texts looks for.
@@ -96,30 +105,48 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _mixed(value: str) -> bool:
+    return any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+
+
+def secrets(text: str) -> list[tuple[int, int, int]]:
+    return [(SECRET, *m.span(1)) for m in _ASSIGNED.finditer(text) if _mixed(m.group(1))]
+
+
+def _loose_emails(text: str) -> list[tuple[int, int]]:
+    out, end = [], 0
+    for m in _SIGN.finditer(text):
+        start = m.start()
+        while start > end and (text[start - 1].isalnum() or text[start - 1] in _NAME):
+            start -= 1
+        host = _HOST.match(text, m.end()) if start < m.start() else None
+        if host:
+            end = host.end()
+            out.append((start, end))
+    return out
+
+
 def _loose_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Loosely shaped spans that touch no base span and no span of a kind before."""
-    import bisect
-
     used = sorted((a, b) for _, a, b in taken)
     out = []
-    for kind, pattern in enumerate(_LOOSE):
-        if kind == 0 and "@" not in text and not re.search(r"[(\[] ?at ?[)\]]", text):
+    found = itertools.chain(((0, a, b) for a, b in _loose_emails(text)), ((kind, *m.span()) for kind, pattern in _LOOSE for m in pattern.finditer(text)))
+    for kind, a, b in found:
+        if kind == SECRET and not _mixed(text[a:b]):
+            continue
+        i = bisect.bisect_left(used, (a, b))
+        if (i < len(used) and used[i][0] < b) or (i and used[i - 1][1] > a):
             continue
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            i = bisect.bisect_left(used, (a, b))
-            if (i < len(used) and used[i][0] < b) or (i and used[i - 1][1] > a):
-                continue
-            used.insert(i, (a, b))
-            out.append((kind, a, b))
+        used.insert(i, (a, b))
+        out.append((kind, a, b))
     return out
 
 
 def _found(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans and loose spans."""
+    """Seeds, base spans first, and loose spans."""
     if not _ANY.search(text):
         return [], []
-    own = base_spans(text)
+    own = base_spans(text) + secrets(text)
     return own, _loose_spans(text, own)
 
 
@@ -173,10 +200,10 @@ def _mentions(text: str) -> tuple[list[dict], list[dict]]:
     marks = [i for i, w in enumerate(words) if w == "\x00"]
     out = []
     for (kind, a, b), seed in both:
-        patterns = [f"{KINDS[kind]}|{c}" for c in _contexts(words, starts, marks[number[a, b]])]
-        instance = KINDS[kind] + "|" + re.sub(r"[\s().\-/]", "", text[a:b]).lower()
+        patterns = [f"{NAMES[kind]}|{c}" for c in _contexts(words, starts, marks[number[a, b]])]
+        instance = NAMES[kind] + "|" + re.sub(r"[\s().\-/]", "", text[a:b]).lower()
         out.append({"kind": kind, "start": a, "end": b, "instance": instance, "patterns": patterns, "seed": seed})
-    return [{"kind": k, "start": a, "end": b} for k, a, b in own], out
+    return [{"kind": k, "start": a, "end": b} for k, a, b in own if k < SECRET], out
 
 
 def mentions(docs: DataFrame) -> DataFrame:
@@ -273,10 +300,11 @@ def scored_instances(docs: DataFrame, found: DataFrame, accept: float, rounds: i
 
 
 def find(docs: DataFrame, accept: float = 0.7) -> DataFrame:
-    """(doc_id, spans, all_spans): base spans, and these with the ones that contexts confirm; by kind, then start."""
+    """(doc_id, spans, all_spans): base spans, and these with secrets and the ones that contexts confirm; by kind, then start."""
     found = written(mentions(docs).withColumn("row", F.monotonically_increasing_id()), "pii-mentions")
     good = written(scored_instances(docs, found, accept).where(F.col("trust") >= accept).select("instance"), "pii-found")
-    loose = found.selectExpr("row", "inline(mentions)").where("not seed").join(good, "instance", "left_semi")
+    rest = found.selectExpr("row", "inline(mentions)").where(f"not seed or kind = {SECRET}")
+    loose = rest.where("seed").unionByName(rest.where("not seed").join(good, "instance", "left_semi"))
     more = loose.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
     both = found.select("row", "doc_id", "spans").join(written(more, "pii-more"), "row", "left")
     return both.select("doc_id", "spans", F.array_sort(F.concat("spans", F.coalesce("more", F.array().cast(f"array<{_SPAN}>")))).alias("all_spans"))
@@ -292,21 +320,20 @@ def confirmed(docs: DataFrame, accept: float = 0.7) -> DataFrame:
 def redacted(docs: DataFrame, accept: float = 0.7) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind's name in angle brackets; all columns and rows stay.
 
-    Base spans are found anew as texts pass by; only the few texts with added spans are looked up.
+    Base spans are found anew as texts pass by; only texts with added spans are looked up.
     """
     more = written(confirmed(docs, accept), "pii-confirmed")
-    joined = docs.withColumn("__h", F.xxhash64("text")).join(more.withColumnsRenamed({"text_hash": "__h", "more": "__more"}), "__h", "left").drop("__h")
-    columns = [c for c in joined.columns if c != "__more"]
+    own, extra = free_names(docs, "key_hash", "more_spans")
+    joined = docs.withColumn(own, F.xxhash64("text")).join(more.withColumnsRenamed({"text_hash": own, "more": extra}), own, "left").drop(own)
+    at, columns = docs.columns.index("text"), docs.columns
+    joined = joined.select(*(F.col(f"`{c}`") for c in columns), extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            step = max(1, batch.num_rows * 4_000_000 // max(batch.column("text").nbytes, 4_000_000))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                texts = [_masked(x, extra) for x, extra in zip(part.column("text").to_pylist(), part.column("__more").to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array(texts, part.column("text").type) if c == "text" else part.column(c) for c in columns], names=columns)
+        for part in column_slices(batches, at):
+            texts = [_masked(x, added) for x, added in zip(part.column(at).to_pylist(), part.column(len(columns)).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, part.column(at).type) if i == at else part.column(i) for i in range(len(columns))], names=columns)
 
-    return joined.mapInArrow(run, joined.drop("__more").schema)
+    return joined.mapInArrow(run, docs.schema)
 
 
 def _masked(text: str | None, extra: list | None) -> str | None:
@@ -316,13 +343,13 @@ def _masked(text: str | None, extra: list | None) -> str | None:
     out, end = [], 0
     for kind, a, b in sorted(spans, key=lambda x: (x[1], -x[2], x[0])):
         if a >= end:
-            out += (text[end:a], f"<{KINDS[kind].upper()}>")
+            out += (text[end:a], f"<{NAMES[kind].upper()}>")
         end = max(end, b)  # of overlapping spans, the first names the whole
     return "".join([*out, text[end:]])
 
 
 def _joined(spans: str) -> Column:
-    names = F.array(*map(F.lit, KINDS))
+    names = F.array(*map(F.lit, NAMES))
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
 
 
@@ -330,4 +357,5 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
     of = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
     counts = [of(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts += [F.size(F.filter("all_spans", lambda x: x["kind"] == SECRET)).cast("long").alias("n_secret"), F.size("all_spans").cast("long").alias("n_spans")]
     return found.select("doc_id", *counts, F.sha2(_joined("spans").cast("binary"), 256).alias("base_sha256"), _joined("all_spans").alias("spans"))

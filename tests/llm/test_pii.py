@@ -3,6 +3,7 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from entitrail.llm import pii
 
@@ -146,3 +147,74 @@ def test_clean_texts_speak_against_a_pattern(spark):
     clean = [f"{cases.prose(i, 3)} seen at counter {cases.prose(100 + i, 5)}" for i in range(60)]
     found = all_spans(spark, loose + known + clean)
     assert [found[i] for i in range(3)] == [[]] * 3
+
+
+def plain_trust(texts, accept=0.7, rounds=3, least_seeds=3):
+    """The scoring, by its definition, with dicts."""
+    graph, known = {}, set()
+    for text in texts:
+        for m in pii._mentions(text or "")[1]:
+            known |= {m["instance"]} if m["seed"] else set()
+            for pattern in m["patterns"]:
+                graph.setdefault(pattern, set()).add(m["instance"])
+    misses = {}
+    for text in set(texts):
+        own, loose = pii._found(text or "")
+        words, starts, _ = pii._words(text or "", own + loose)
+        for i, w in enumerate(words):
+            for context in pii._contexts(words, starts, i) if w != "\x00" else ():
+                misses[context] = misses.get(context, 0) + 1
+    trust = {i: float(i in known) for held in graph.values() for i in held}
+    wanted = {p: held for p, held in graph.items() if len(held) >= least_seeds and not held <= known}
+    accepted = done = 0
+    while True:
+        done += 1
+        p = {}
+        for pattern, held in wanted.items():
+            if sum(i in known or trust[i] >= accept for i in held) >= least_seeds:
+                p[pattern] = sum(trust[i] for i in held) / (len(held) + misses.get(pattern.split("|", 1)[1], 0) + 1)
+        new = {}
+        for i in trust:
+            err = 1.0
+            for side in (lambda c: c.endswith(" _"), lambda c: c.startswith(("_ ", "^ _ ")), lambda c: " _ " in c and c[0] != "^"):
+                err *= 1 - min(0.999, max((x for q, x in p.items() if i in graph[q] and side(q.split("|", 1)[1])), default=0.0))
+            new[i] = 1.0 if i in known else 1 - err
+        trust, before = new, accepted
+        accepted = sum(t >= accept and i not in known for i, t in trust.items())
+        if done >= rounds and accepted == before:
+            return {i: t for i, t in trust.items() if i not in known}
+
+
+def test_scores_equal_a_plain_version(spark):
+    texts = [r.text for r in bootstrap(spark).collect()] + [f"mail to jane{i} (at) site{i}.example (dot) org now" for i in range(4)]
+    texts += [f"mail to jane{i}@site.example.org now and {cases.prose(i, 6)}" for i in range(5)] + ["mail to nobody now", "dial the office line now"] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = pii.mentions(docs).withColumn("row", F.monotonically_increasing_id())
+    got = {r.instance: r.trust for r in pii.scored_instances(docs, found, 0.7).collect()}
+    want = plain_trust(texts)
+    assert set(got) <= set(want) and all(abs(got.get(i, 0.0) - t) < 1e-9 for i, t in want.items()) and max(want.values()) > 0.7
+
+
+def test_no_form_has_a_longest_length(spark):
+    long = "x" * 80
+    known = [f"please write to team{i}@mail{i}.example.org today {cases.prose(i, 8)}" for i in range(8)]
+    found = all_spans(spark, [f"please write to {long} (at) mail.example (dot) org today {cases.prose(90, 8)}"] + known)
+    assert found[0] == [(0, 16, 16 + len(f"{long} (at) mail.example (dot) org"))]
+
+
+def test_planted_unseen_identifiers(spark):
+    """Recall on identifiers of other forms in the contexts of known ones, among clean documents."""
+    forms = [("Hotline: {0}", "+1 (743) 555-{:04d}", "(743) 556 {:04d}"), ("reach me under {0} please", "kim.{}@example.com", "kim.{} [at] example [dot] com"), ("from host {0} port", "10.1.2.{}", "fe80:0:0:{}:1:2:3:4"), ('token = "{0}" end', "9b0b3c6a43eb78aa99cb{:04d}", None), ("session key {0} expires", None, "8e5f278dec875d2b96fd{:04d}")]
+    known = [f"{cases.prose(i, 5)}\n{form.format(seen.format(i))}\n{cases.prose(i + 50, 9)}" for form, seen, _ in forms if seen for i in range(12)]
+    unseen = [f"{cases.prose(200 + i, 5)}\n{form.format(other.format(i))}\n{cases.prose(250 + i, 9)}" for form, _, other in forms[:3] for i in range(5)]
+    clean = [cases.prose(i, 30) + (f" in {1000 + i} places" if i % 3 else "") for i in range(300, 360)]
+    found = all_spans(spark, unseen + known + clean)
+    assert sum(len(found[i]) == 1 for i in range(len(unseen))) >= 0.9 * len(unseen)
+    assert all(len(found[len(unseen) + i]) == 1 for i in range(len(known)))
+    assert not any(found[len(unseen) + len(known) + i] for i in range(len(clean)))
+
+
+def test_secrets(spark):
+    assert pii.secrets('TOKEN = "9233A8ECF7C5B09FE594"!!') == [(4, 9, 29)] and pii.secrets("token = internationalization") == []
+    docs = spark.createDataFrame([(1, 'a token = "04dbebab91ab85687d33eeaa" b', "x"), (2, "none", "y")], "doc_id long, text string, more_spans string")
+    assert [r.text for r in pii.redacted(docs).orderBy("doc_id").collect()] == ['a token = "<SECRET>" b', "none"]
