@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -55,36 +57,135 @@ def test_toxicity_edges(spark):
     assert toxicity.scored(cases.empty(spark), some).count() == 0
 
 
-def test_probabilities_sum_to_one_over_letters():
-    counted = ({}, {})
-    from collections import Counter
-
-    counted = (Counter({"abba": 5, "abc": 3, "cab": 2}), Counter({"abba": 1, "bad": 4}))
-    tables = [np.zeros((4, n), dtype=np.int64) for n in toxicity.SLOTS]
-    by = {}
-    for n, p, payload in toxicity._gram_rows(counted):
-        by.setdefault((n, p), []).append(payload)
-    import pyarrow as pa
-
-    for (n, p), payloads in by.items():
-        t = toxicity._added(pa.table({"n": pa.array([n] * len(payloads), pa.int32()), "part": pa.array([p] * len(payloads), pa.int32()), "payload": pa.array(payloads, pa.binary())}))
-        tables[n][:, p * toxicity._PART : (p + 1) * toxicity._PART] = np.array(toxicity._unpacked(t.column("payload")[0].as_py())[0])
-    m = toxicity.Models(tables)
-    for c in (0, 1):
-        # the share of all letters after a seen history and its weight of backing off fill up to one
-        word, place, slots = toxicity.grams(["abba", "abc", "cab", "bad"])
-        for n in range(1, toxicity.ORDER):
-            seen = {}
-            for i in np.flatnonzero(place >= max(n, 1)):
-                seen.setdefault(int(slots[n - 1][i - 1]), set()).add(int(slots[n][i]))
-            for history, followers in seen.items():
-                share, back = sum(float(m.share[n][c][f]) for f in followers), float(m.back[n][c][history])
-                assert abs(share + back - 1) < 1e-5
-    assert m.ratios(["bad"])[0] > 0 > m.ratios(["cab"])[0]
+def plain_kneser_ney(counted, word, order=5, discount=0.75, shared=2):
+    """log P(word) per class by the definition, with dicts of strings; ``counted`` is a Counter of words per class."""
+    grams = [Counter(), Counter()]
+    for own, of in zip(grams, counted):
+        for w, n in of.items():
+            marked = "\x01" + w + "\x02"
+            for i in range(1, len(marked)):
+                for k in range(1, min(order, i + 1) + 1):
+                    own[marked[i - k + 1 : i + 1]] += n
+
+    def used(c, g):
+        if len(g) == order or g[0] == "\x01":
+            return grams[c][g]
+        return len({x for x in grams[c] if len(x) == len(g) + 1 and x[1:] == g})
+
+    def count(c, g):
+        return used(0, g) + used(1, g) if len(g) <= shared else used(c, g)
+
+    def prob(c, h, x):
+        if h is None:
+            return 1 / toxicity.LETTERS
+        after = [count(c, g) for g in {*grams[0], *grams[1]} if len(g) == len(h) + 1 and g[:-1] == h]
+        total, lower = sum(after), prob(c, h[1:] if h else None, x)
+        if not total:
+            return lower
+        return max(count(c, h + x) - discount, 0) / total + discount * sum(n > 0 for n in after) / total * lower
+
+    marked = "\x01" + word + "\x02"
+    return [sum(np.log(prob(c, marked[max(0, i - order + 1) : i], marked[i])) for i in range(1, len(marked))) for c in (0, 1)]
+
+
+WORDS = [Counter({"abba": 5, "abc": 3, "cab": 2, "babble": 1}), Counter({"abba": 1, "bad": 4, "badly": 2})]
+
+
+def models_of(spark, counted, **options):
+    texts = [(c, " ".join([w] * n)) for c in (0, 1) for w, n in counted[c].items()]
+    grams = toxicity.gram_counts(spark.createDataFrame(texts, "which int, text string").repartition(3))
+    rows = toxicity.model_rows(grams, False, **options).toArrow()
+    return rows, toxicity.Models(rows.column("g").to_pylist(), np.stack([rows.column(c).to_numpy() for c in ("s0", "s1", "b0", "b1")], axis=1))
+
+
+def test_models_equal_plain_kneser_ney(spark):
+    _, models = models_of(spark, WORDS)
+    names = ["abba", "bad", "cab", "badly", "abbad", "zzz", "a", "babbab", "xbad"]
+    plain = [plain_kneser_ney(WORDS, w) for w in names]
+    assert np.allclose(models.ratios(names), [b - a for a, b in plain], rtol=1e-5, atol=1e-5)
+    assert models.ratios(["bad", "", "abc"])[1] == 0 and models.ratios(["bad"])[0] > 0 > models.ratios(["abc"])[0]
+    ratio = models.ratios(["bad", "abba"])
+    assert np.isclose(models.evidence(["Bad! abba"])[0], np.log(np.mean(np.exp(ratio)))) and models.evidence([""])[0] == 0
+
+
+def test_probabilities_sum_to_one_with_and_without_cut_offs(spark):
+    for least in (1, 3):
+        rows, _ = models_of(spark, WORDS, least=least)
+        share, back = {}, {}
+        for r in rows.to_pylist():
+            back[r["g"]] = (r["b0"], r["b1"])
+            for c in (0, 1):
+                if r["g"]:
+                    share[c, r["g"][:-1]] = share.get((c, r["g"][:-1]), 0) + r[f"s{c}"]
+        assert all(abs(s + back[h][c] - 1) < 1e-12 for (c, h), s in share.items())
+    assert max(map(len, back)) >= 3
+
+
+def test_counts_are_exact_for_large_alphabets(spark):
+    word = lambda i: chr(0x4E00 + i % 5000) + chr(0x4E00 + (7 * i) % 5000)
+    counted = [Counter({word(i): 1 + i % 3 for i in range(6000)}), Counter({word(i): 2 for i in range(100)})]
+    grams, counts = toxicity.gram_counts_of([*counted, Counter(), Counter()])
+    own: dict[str, list] = {}
+    for g, c in zip(grams, counts):
+        own.setdefault(g, []).append(c)
+    plain = Counter()
+    for w, n in counted[0].items():
+        plain[w[0]] += n
+        plain[w[1]] += n
+    assert all(sum(c[0] for c in own[x]) == n for x, n in plain.items())
+
+
+def plain_kernel_ridge(train, langs, texts, landmarks, ridge=1.0):
+    """Outputs by the definition: sets of n-grams, cosine kernel, Nystroem features from K(L, L)^-1/2, ridge per language."""
+    sets = lambda x: set(np.flatnonzero(langid.presence([x], langid.BINS)[0]).tolist())
+    kernel = lambda a, b: len(a & b) / max(1.0, (len(a) * len(b)) ** 0.5)
+    x, q = [sets(t) for t in train], [sets(t) for t in texts]
+    z = x[:landmarks]
+    values, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in z] for a in z]))
+    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
+    phi, new = (np.array([[kernel(a, b) for b in z] for a in rows]) @ root for rows in (x, q))
+    names = sorted(set(langs))
+    out = []
+    for name in names:
+        y = np.array([1.0 if lang == name else -1.0 for lang in langs])
+        w = np.array([1 / langs.count(lang) for lang in langs])
+        w *= len(langs) / w.sum()
+        centre = (w * y).mean()
+        mean = phi.mean(axis=0)
+        a = (phi - mean).T @ np.diag(w) @ (phi - mean) + ridge * np.eye(len(z))
+        out.append((new - mean) @ np.linalg.solve(a, (phi - mean).T @ (w * (y - centre))) + centre)
+    return np.array(out).T
+
+
+def test_folded_matrix_equals_plain_kernel_ridge():
+    train = [f"{cases.prose(i, 30)}" if i % 3 else "und der die das nicht ein eine " * (1 + i % 4) + cases.prose(i, 3) for i in range(40)]
+    langs = ["en" if i % 3 else "de" for i in range(40)]
+    texts = [cases.prose(99, 12), "nicht die eine und der", "", "xyz"]
+    bits = np.packbits(langid.presence(train, langid.BINS) > 0, axis=1)
+    model = langid.fit_kernel_ridge(bits, langs, 12)
+    assert np.allclose(model.outputs(texts), plain_kernel_ridge(train, langs, texts, 12), atol=1e-4)
+    p = model.score(texts)
+    assert np.allclose(p.sum(axis=1), 1) and (p.argmax(axis=1) == model.outputs(texts).argmax(axis=1)).all()
+
+
+def test_rows_of_no_learned_language_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs, in_training())
+    r = __import__("random").Random(2)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(2, 9)))
+    foreign = [" ".join(word(letters) for _ in range(60)) for letters in ("абвгдежзиклмнопрстуфхцчшщыьэюя", "bcdfghjklmnpqrstvwxz", "αβγδεζηθικλμνξοπρστυφχψω")]
+    own = [x.text for x in docs.select("text").limit(300).collect()]
+    rows = spark.createDataFrame(list(enumerate(foreign + own + ["Да, это так.", "1234 !!"])), "doc_id long, text string")
+    kept = {x.doc_id for x in langid.kept_rows(rows, model).collect()}
+    lettered = {3 + i for i, x in enumerate(own) if any(c.isalpha() for c in x)}
+    assert kept == lettered | {3 + len(own)}  # a short text says too little to be rejected
+    english = langid.kept_rows(docs, model, ["en"])
+    wrong = english.where("lang <> 'en'").count()
+    assert english.where("lang = 'en'").count() >= 0.97 * docs.where("lang = 'en'").count() and wrong <= 0.02 * docs.count()
 
 
 def test_long_words_are_read_whole():
-    assert "".join(toxicity.words("x" * 200 + "Moron")) == "x" * 200 + "moron"
+    assert "".join(toxicity.words("x" * 2000 + "Moron")) == "x" * 2000 + "moron"
 
 
 def _folds(spark, toxic_folds):
@@ -108,7 +209,7 @@ def test_the_regression_samples_each_class(spark):
     docs, labels = _folds(spark, (0, 1, 3))
     absent = spark.createDataFrame([(i, 0) for i in range(10_000, 40_000)], "doc_id long, toxic int")
     found = toxicity.fit(docs, labels.unionByName(absent), sample=8)
-    assert isinstance(found, toxicity.Scorer)
+    assert isinstance(found, toxicity.Scorer) and found.slope != 1.0
 
 
 def test_lettered_rows_stay_when_nothing_could_be_learned(spark):
