@@ -7,9 +7,11 @@ others are ``continuation`` records that name it as their origin; the last one s
 archives of about ``archive`` bytes, so a page's segments may lie in different archives; each archive is one
 gzip-compressed file written through Spark's committer.
 
-Reading. Archives are parsed record by record by their stated lengths. Whole records are decoded where they are read; segmented
-ones alone are grouped by origin identifier, ordered by segment number, verified against the total length, joined and
-decoded. A group is one page's message. Payloads are verified against the digest in the record.
+Reading. An archive may be one gzip member, or one for each record, as is usual, or not compressed. It is inflated as a
+stream and parsed once, record by record, by stated lengths; a file that ends within a member or a record is an error.
+Whole records are decoded where they are read; segmented ones alone are grouped by origin identifier, ordered by segment
+number, verified against the total length, joined and decoded. A group is one page's message. Payloads are verified
+against the digest in the record, where it is a SHA-1.
 
 Defined cases: a null html is an empty payload; a null url is left out; ``page_id`` may be null (never the largest) or
 repeat: all rows with the largest page_id are responses, all others revisits, and a revisit never names a null; an
@@ -53,6 +55,11 @@ def roles(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFrame:
     return rows.join(groups, ["digest", "n_bytes"], "left").selectExpr("page_id", "url", "html", "digest", "if(page_id <=> keep, null, keep) refers_to")
 
 
+def page_urn(page_id: int) -> str:
+    """What a page's response is called; with equal ids, of several responses with one content."""
+    return uuid.uuid5(_NAME, f"page/{page_id}").urn
+
+
 def _record(kind: str, identifier: str, headers: dict[str, str], block: bytes) -> bytes:
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{identifier}>", f"WARC-Date: {_DATE}", *(f"{k}: {v}" for k, v in headers.items()), f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -88,11 +95,11 @@ def records(page_id: int | None, url: str | None, html: str | None, sha1_hex: st
     payload = (html or "").encode("utf-8", "surrogatepass")
     identifier = uuid.uuid5(_NAME, unique).urn
     headers = {} if url is None else {"WARC-Target-URI": re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m.group()):02X}", url)}
-    headers |= {} if page_id is None else {"X-Page-ID": str(page_id)}
+    headers |= {} if page_id is None else {"X-Page-ID": str(page_id), "X-Page-URN": page_urn(page_id)}
     headers |= {"WARC-Payload-Digest": _digest(sha1_hex)}
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if refers_to is not None:
-        headers |= {"WARC-Profile": _REVISIT, "X-Refers-To-Page": str(refers_to), "X-Payload-Length": str(len(payload)), "Content-Type": "application/http; msgtype=response"}
+        headers |= {"WARC-Profile": _REVISIT, "WARC-Refers-To": f"<{page_urn(refers_to)}>", "X-Refers-To-Page": str(refers_to), "X-Payload-Length": str(len(payload)), "Content-Type": "application/http; msgtype=response"}
         return [_record("revisit", identifier, headers, http)]
     headers["Content-Type"] = "application/http; msgtype=response"
     block = http + chunked(payload)
@@ -101,7 +108,7 @@ def records(page_id: int | None, url: str | None, html: str | None, sha1_hex: st
     parts = [block[at : at + segment] for at in range(0, len(block), segment)]
     out = [_record("response", identifier, headers | {"WARC-Segment-Number": "1"}, parts[0])]
     for n, part in enumerate(parts[1:], 2):
-        more = {"WARC-Segment-Origin-ID": f"<{identifier}>", "WARC-Segment-Number": str(n)}
+        more = {k: headers[k] for k in ("WARC-Target-URI",) if k in headers} | {"WARC-Segment-Origin-ID": f"<{identifier}>", "WARC-Segment-Number": str(n)}
         if n == len(parts):
             more["WARC-Segment-Total-Length"] = str(len(block))
         out.append(_record("continuation", uuid.uuid5(_NAME, f"{unique}/{n}").urn, more, part))
@@ -134,23 +141,79 @@ def write_archives(pages: DataFrame, path: str, segment: int = 1 << 16, archive:
 _RECORD = "kind string, id string, origin string, segment int, total long, page_id long, url string, digest string, refers_to long, length long, block binary"
 
 
+class _Stream:
+    """An archive's bytes, inflated as they are asked for, over all gzip members."""
+
+    def __init__(self, content: bytes):
+        self.left, self.zip = content, content[:2] == b"\x1f\x8b"
+        self.data, self.at = bytearray(b"" if self.zip else content), 0
+        self.member = zlib.decompressobj(31) if self.zip else None
+
+    def more(self) -> bool:
+        """Inflates a further part; False at the end."""
+        if not self.zip:
+            return False
+        if self.member.eof:
+            self.left = self.member.unused_data
+            if not self.left.strip(b"\0"):
+                return False
+            self.member = zlib.decompressobj(31)
+        elif not self.left:
+            raise ValueError("the archive ends within a gzip member")
+        part = self.member.decompress(self.left, 1 << 20)
+        self.left = self.member.unconsumed_tail
+        if not part and not self.left and not self.member.eof:
+            raise ValueError("the archive ends within a gzip member")
+        if self.at > 1 << 20:
+            del self.data[: self.at]
+            self.at = 0
+        self.data += part
+        return True
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What comes before ``mark``, which is passed; None if nothing is left at all."""
+        seen = self.at
+        while (end := self.data.find(mark, seen)) < 0:
+            back = len(self.data) - self.at
+            if not self.more():
+                if back == 0:
+                    return None
+                raise ValueError("the archive ends within a record's head")
+            seen = max(self.at, self.at + back - len(mark))
+        found = bytes(self.data[self.at : end])
+        self.at = end + len(mark)
+        return found
+
+    def take(self, n: int) -> bytes:
+        while len(self.data) - self.at < n:
+            if not self.more():
+                raise ValueError("the archive ends within a record")
+        found = bytes(self.data[self.at : self.at + n])
+        self.at += n
+        return found
+
+
+def _sha1_hex(value: str | None) -> str | None:
+    """A SHA-1 in hex, from Base32 or hex; other algorithms are not verified."""
+    if not value or not value.lower().startswith("sha1:"):
+        return None
+    value = value[5:]
+    return value.lower() if len(value) == 40 else base64.b32decode(value.upper()).hex()
+
+
 def _parsed(content: bytes) -> Iterator[dict]:
     """The records of an archive; a response's message may be a first segment."""
-    data = zlib.decompressobj(31).decompress(content)
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode().split("\r\n")
-        if version != "WARC/1.1":
+    stream = _Stream(content)
+    while (head := stream.until(b"\r\n\r\n")) is not None:
+        version, *lines = head.decode("utf-8", "replace").split("\r\n")
+        if not version.startswith("WARC/1."):
             raise ValueError(f"not a record: {version[:40]!r}")
-        h = dict(x.split(": ", 1) for x in lines)
-        start, n = end + 4, int(h["Content-Length"])
+        h = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         number = lambda key: int(h[key]) if key in h else None
-        digest = base64.b32decode(h["WARC-Payload-Digest"][5:]).hex() if "WARC-Payload-Digest" in h else None
-        yield {"kind": h["WARC-Type"], "id": h["WARC-Record-ID"], "origin": h.get("WARC-Segment-Origin-ID"), "segment": number("WARC-Segment-Number"), "total": number("WARC-Segment-Total-Length"), "page_id": number("X-Page-ID"), "url": h.get("WARC-Target-URI"), "digest": digest, "refers_to": number("X-Refers-To-Page"), "length": number("X-Payload-Length"), "block": data[start : start + n]}
-        if data[start + n : start + n + 4] != b"\r\n\r\n":
+        block = stream.take(int(h["content-length"]))
+        if stream.take(4) != b"\r\n\r\n":
             raise ValueError("a record does not end where its length says")
-        at = start + n + 4
+        yield {"kind": h["warc-type"], "id": h["warc-record-id"], "origin": h.get("warc-segment-origin-id"), "segment": number("warc-segment-number"), "total": number("warc-segment-total-length"), "page_id": number("x-page-id"), "url": h.get("warc-target-uri"), "digest": _sha1_hex(h.get("warc-payload-digest")), "refers_to": number("x-refers-to-page"), "length": number("x-payload-length"), "block": block}
 
 
 def payload_of(message: bytes) -> bytes:
@@ -168,7 +231,7 @@ def _page(r: dict, message: bytes) -> dict:
     if r["kind"] == "response":
         page["payload"] = payload_of(message)
         page["length"] = len(page["payload"])
-        if hashlib.sha1(page["payload"]).hexdigest() != r["digest"]:
+        if r["digest"] is not None and hashlib.sha1(page["payload"]).hexdigest() != r["digest"]:
             raise ValueError(f"the payload of {r['id']} does not have its digest")
     return page
 
@@ -187,26 +250,39 @@ def _reassembled(rows: pa.Table) -> pa.Table:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, url, record_type, refers_to, digest, length, payload): a row per page, payload null for revisits."""
+    """(page_id, url, record_type, refers_to, digest, length, payload): a row per page, payload null for revisits.
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                rows = [_page(r, r["block"]) for r in _parsed(content.as_py()) if r["segment"] is None and r["kind"] in ("response", "revisit")]
-                for at in range(0, len(rows), 1000):
-                    yield _batch(rows[at : at + 1000])
+    Archives are parsed once, into a written table of pages and, with their blocks, segments.
+    """
+    names = [x.split()[0] for x in _RECORD.split(", ")]
+    kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in _RECORD.split(", ")]
+    none = dict.fromkeys(_FIELDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple[dict, dict | None]]) -> pa.RecordBatch:
+            pages, cut = _batch([page for page, _ in rows]), [r for _, r in rows]
+            struct = pa.StructArray.from_arrays([pa.array([r and r[f] for r in cut], kind) for f, kind in zip(names, kinds)], names=names, mask=pa.array([r is None for r in cut]))
+            return pa.RecordBatch.from_arrays([*pages.columns, struct], names=[*_FIELDS, "cut"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in _RECORD.split(", ")]
-        kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
         for batch in batches:
             for content in batch.column(0):
-                rows = [r for r in _parsed(content.as_py()) if r["segment"] is not None]
-                yield pa.RecordBatch.from_arrays([pa.array([r[f] for r in rows], kinds[x.split()[1]]) for f, x in zip(names, _RECORD.split(", "))], names=names)
-
-    files = read_blobs(spark, path)
-    segments = files.mapInArrow(cut, _RECORD).withColumn("origin", F.coalesce("origin", "id"))
-    return files.mapInArrow(whole, _PAGE).unionByName(segments.groupBy("origin").applyInArrow(_reassembled, _PAGE))
+                rows, size = [], 0
+                for r in _parsed(content.as_py()):
+                    if r["segment"] is not None:
+                        rows.append((none, r))
+                    elif r["kind"] in ("response", "revisit"):
+                        rows.append((_page(r, r["block"]), None))
+                    size += len(r["block"])
+                    if len(rows) >= 1000 or size > 1 << 23:
+                        yield out(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield out(rows)
+
+    cut_type = "struct<" + ",".join(":".join(x.split()) for x in _RECORD.split(", ")) + ">"
+    found = written(read_blobs(spark, path).mapInArrow(run, f"{_PAGE}, cut {cut_type}"), "warc-read")
+    segments = found.where("cut is not null").select("cut.*").withColumn("origin", F.coalesce("origin", "id"))
+    return found.where("cut is null").drop("cut").unionByName(segments.groupBy("origin").applyInArrow(_reassembled, _PAGE))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,3 +64,41 @@ def test_lost_segment():
     for bad in (found[:-1], found[1:], found[:2] + found[3:]):
         with pytest.raises(ValueError):
             warc._reassembled(pa.Table.from_pylist(bad))
+
+
+def page_records(n=4):
+    body = lambda i: f"page {i} ".encode() * (300 * i + 1)
+    return [x for i in range(n) for x in warc.records(i, f"http://x/{i}", body(i).decode(), hashlib.sha1(body(i)).hexdigest(), None, f"0/{i}", 1 << 20)]
+
+
+@pytest.mark.parametrize("packing", ["members", "one", "plain", "padded"])
+def test_archives_of_others(packing):
+    import gzip
+
+    records = page_records()
+    data = {"members": b"".join(map(gzip.compress, records)), "one": gzip.compress(b"".join(records)), "plain": b"".join(records), "padded": b"".join(map(gzip.compress, records)) + b"\0" * 100}[packing]
+    assert [r["page_id"] for r in warc._parsed(data)] == [0, 1, 2, 3]
+    for size in (3, len(data) // 2, len(data) - 120 if packing == "padded" else len(data) - 5):
+        with pytest.raises(ValueError):
+            list(warc._parsed(data[:size]))
+
+
+def test_large_records_over_parts_of_the_stream():
+    import gzip
+    import random
+
+    body = random.Random(1).randbytes(3_000_000).hex()
+    records = warc.records(7, "u", body, hashlib.sha1(body.encode()).hexdigest(), None, "0/7", 1 << 30) * 3
+    found = list(warc._parsed(b"".join(map(gzip.compress, records))))
+    assert len(found) == 3 and all(warc.payload_of(r["block"]) == body.encode() for r in found)
+
+
+def test_headers_name_what_they_refer_to():
+    import gzip
+
+    revisit = warc.records(1, "u", "x", hashlib.sha1(b"x").hexdigest(), 9, "0/0", 1000)[0]
+    assert f"WARC-Refers-To: <{warc.page_urn(9)}>".encode() in revisit
+    parts = warc.records(1, "http://u", "y" * 3000, hashlib.sha1(b"y" * 3000).hexdigest(), None, "0/1", 1000)
+    assert all(b"WARC-Target-URI: http://u" in x for x in parts) and len(list(warc._parsed(gzip.compress(b"".join(parts))))) == len(parts)
+    lower = gzip.compress(b"WARC/1.0\r\nwarc-type: response\r\nwarc-record-id: <a>\r\nwarc-payload-digest: md5:abc\r\ncontent-length: 3\r\n\r\nabc\r\n\r\n")
+    assert [(r["kind"], r["digest"], r["block"]) for r in warc._parsed(lower)] == [("response", None, b"abc")]
