@@ -6,12 +6,13 @@ descent a node's neighbours, and its closest reverse ones, meet by a Spark join
 there, are compared, and what improves a list replaces its end. Rounds end when few lists change. A query starts from its own
 node's list and repeatedly expands the closest nodes not yet expanded, until the best ``beam`` have all been expanded.
 
-The graph is approximate, its vectors are half floats; distances returned are computed from the original vectors in
-double precision. Recall against brute force is a test, see the README.
+The graph is approximate; its distances are computed in double precision around a middle of the vectors that meet, so
+that neither an outlier nor a cluster of vectors that are all but equal hides differences. Distances returned are
+computed from the original vectors. Recall against brute force is a test, see the README.
 
-Defined cases: vectors that are null, zero, of another than the commonest length, or hold null or non-finite
-components take no part, as queries or candidates; rows without an id neither; of equal ids each row is a candidate;
-an empty table gives no rows; other columns are ignored.
+Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, as queries or
+candidates; vectors of different lengths are not compared, each length has a graph of its own; rows without an id take
+no part; of equal ids each row is a candidate; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Ids kept for a class: as many as one query can return, and its own.
-TOP = 10
 _EDGES = "v long, u long, d float, fresh boolean"
 
 
@@ -35,25 +34,24 @@ def usable(rows: DataFrame) -> DataFrame:
     """(vec_id, embedding as array<float>) of the rows that take part."""
     x = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where("vec_id is not null and size(embedding) > 0")
     sound = F.forall("embedding", lambda e: F.coalesce(F.abs(e) < float("inf"), F.lit(False))) & F.exists("embedding", lambda e: e != 0)
-    x = x.where(F.coalesce(sound, F.lit(False)))
-    length = x.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return x.where(F.size("embedding") == (length[0].n if length else 0))
+    return x.where(F.coalesce(sound, F.lit(False)))
 
 
-def classes(x: DataFrame) -> DataFrame:
-    """(node, embedding, ids): one row per distinct vector; node is its least id, ids the least TOP + 1."""
+def classes(x: DataFrame, k: int) -> DataFrame:
+    """(node, embedding, ids): one row per distinct vector; node is its least id, ids the least k + 1: one may be the query's own."""
     rank = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    least = x.withColumn("rank", rank).where(F.col("rank") <= TOP + 1)
+    least = x.withColumn("rank", rank).where(F.col("rank") <= k + 1)
     return least.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.get("ids", F.lit(0)).alias("node"), "embedding", "ids")
 
 
-def _halves(column: pa.Array) -> np.ndarray:
+def _vectors(column: pa.Array) -> np.ndarray:
     raw = column.to_pylist()
-    return np.frombuffer(b"".join(raw), dtype="<f2").reshape(len(raw), -1).astype(np.float32)
+    return np.frombuffer(b"".join(raw), dtype="<f4").reshape(len(raw), -1).astype(np.float64)
 
 
 def _pairs(x: np.ndarray) -> np.ndarray:
-    """Squared distances among rows."""
+    """Squared distances among rows, taken around the middle of some of them, which an outlier does not move."""
+    x = x - np.median(x[:: max(1, len(x) // 32)], axis=0)
     n = (x * x).sum(axis=1)
     return np.maximum(n[:, None] + n[None, :] - 2 * (x @ x.T), 0)
 
@@ -63,16 +61,16 @@ def _edges(v: np.ndarray, u: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
 
 
 def first_edges(nodes: DataFrame, n: int, k: int, tree: int, bits: int, block: int) -> DataFrame:
-    """The nearest ``k`` of each (node, half) within its run of the order that the projections of ``tree`` give."""
+    """The nearest ``k`` of each (node, vector) within its run of the order that the projections of ``tree`` give."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = _halves(batch.column(1))
+                x = _vectors(batch.column(1))
                 planes = np.random.default_rng(tree).standard_normal((x.shape[1], bits + 1)).astype(np.float32)
-                y = x @ planes
+                y = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))) @ planes
                 code = ((y[:, :bits] > 0) << np.arange(bits)).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(y[:, bits], pa.float32()), *batch.columns], names=["code", "side", "node", "half"])
+                yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(y[:, bits]), *batch.columns], names=["code", "side", "node", "vector"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -87,7 +85,7 @@ def first_edges(nodes: DataFrame, n: int, k: int, tree: int, bits: int, block: i
             cuts = list(range(0, max(1, n - block // 2), block)) + [n]
             for a, b in itertools.pairwise(cuts):
                 part = rows.slice(a, b - a).combine_chunks()
-                node, d = part.column("node").to_numpy(), _pairs(_halves(part.column("half").combine_chunks()))
+                node, d = part.column("node").to_numpy(), _pairs(_vectors(part.column("vector").combine_chunks()))
                 np.fill_diagonal(d, np.inf)
                 own = min(k, len(node) - 1)
                 if own > 0:
@@ -95,10 +93,10 @@ def first_edges(nodes: DataFrame, n: int, k: int, tree: int, bits: int, block: i
                     yield _edges(np.repeat(node, own), node[near].ravel(), np.take_along_axis(d, near, axis=1).ravel())
             held = rows.slice(n).to_batches()
 
-    keys = nodes.mapInArrow(keyed, "code long, side float, node long, half binary")
+    keys = nodes.mapInArrow(keyed, "code long, side double, node long, vector binary")
     parts = min(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // (2 * block))  # a part holds some runs
     dealt = (keys.repartitionByRange(parts, "code", "side") if parts > 1 else keys.coalesce(1)).sortWithinPartitions("code", "side")
-    return dealt.select("node", "half").mapInArrow(run, _EDGES)
+    return dealt.select("node", "vector").mapInArrow(run, _EDGES)
 
 
 def nearest(edges: DataFrame, k: int) -> DataFrame:
@@ -139,7 +137,7 @@ def improvements(graph: DataFrame, nodes: DataFrame, k: int, reverse: int) -> Da
     last = written(graph.groupBy("v").agg(F.max("d").alias("last"), F.count("*").alias("n")).selectExpr("v u", f"if(n < {k}, cast('inf' as float), last) last"), "ann-last")
     with_vectors = around.join(nodes.withColumnRenamed("node", "u"), "u").join(last, "u")
     parts = int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = with_vectors.select("v", "u", "fresh", "last", "half").repartition(parts, "v").sortWithinPartitions("v")
+    dealt = with_vectors.select("v", "u", "fresh", "last", "vector").repartition(parts, "v").sortWithinPartitions("v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -156,7 +154,7 @@ def improvements(graph: DataFrame, nodes: DataFrame, k: int, reverse: int) -> Da
                 continue
             rows, v = rows.slice(0, n), v[:n]
             u, fresh, last = (rows.column(c).to_numpy()[:n] for c in ("u", "fresh", "last"))
-            x = _halves(rows.column("half").combine_chunks())
+            x = _vectors(rows.column("vector").combine_chunks())
             bounds = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1], [True]]))
             out = []
             for a, b in itertools.pairwise(bounds.tolist()):
@@ -176,16 +174,12 @@ def improvements(graph: DataFrame, nodes: DataFrame, k: int, reverse: int) -> Da
 def build_graph(x: DataFrame, k: int = 32, reverse: int = 24, trees: int = 4, block: int = 256, rounds: int = 8) -> DataFrame:
     """(v, u, d, fresh): up to ``k`` near nodes of each (node, embedding) with squared distances."""
 
-    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
-            flat = flat / scale
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in flat.astype("<f2")], pa.binary())], names=["node", "half"])
-
-    # half floats reach 65504 and lose digits below 1e-4, so vectors are brought to a common scale
-    top = x.agg(F.max(F.array_max(F.transform("embedding", lambda e: F.abs(e))))).head()[0]
-    scale = float(top or 1.0) / 16
-    nodes = written(x.select("node", "embedding").mapInArrow(halves, "node long, half binary"), "ann-halves")
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1), "<f4")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in flat], pa.binary())], names=["node", "vector"])
+
+    nodes = written(x.select("node", "embedding").mapInArrow(packed, "node long, vector binary"), "ann-vectors")
     n = nodes.count()
     bits = max(1, min(30, (n // block).bit_length()))
     made = [first_edges(nodes, n, k, t, bits, block) for t in range(trees)]
@@ -207,7 +201,15 @@ def distance(a: str, b: str) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, e: s + e))
 
 
-def search(queries: DataFrame, graph: DataFrame, x: DataFrame, beam: int = 256, expand: int = 32) -> DataFrame:
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(q, u, d) of (q, u, here, there)."""
+    for batch in batches:
+        if batch.num_rows:
+            here, there = (batch.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.sqrt(((here - there) ** 2).sum(axis=1)))], names=["q", "u", "d"])
+
+
+def search(queries: DataFrame, graph: DataFrame, x: DataFrame, beam: int = 256, expand: int = 64) -> DataFrame:
     """(q, u, d): the best ``beam`` nodes found for each query node ``q``; ``x`` is (node, embedding)."""
     vectors = x.select(F.col("node").alias("u"), F.col("embedding").alias("there"))
     asked = queries.select("q", F.col("embedding").alias("here"))
@@ -215,7 +217,7 @@ def search(queries: DataFrame, graph: DataFrame, x: DataFrame, beam: int = 256,
     steps = graph.select("v", "u")
 
     def measured(pairs: DataFrame) -> DataFrame:
-        return pairs.join(vectors, "u").join(asked, "q").select("q", "u", distance("here", "there").alias("d"))
+        return pairs.join(vectors, "u").join(asked, "q").select("q", "u", "here", "there").mapInArrow(_measured, "q long, u long, d double")
 
     found = measured(steps.join(asked.select(F.col("q").alias("v")), "v", "left_semi").withColumnRenamed("v", "q"))
     found = written(found.withColumn("done", F.lit(False)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= beam), "ann-beam")
@@ -231,17 +233,30 @@ def search(queries: DataFrame, graph: DataFrame, x: DataFrame, beam: int = 256,
         found = written(both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= beam), "ann-beam")
 
 
-def neighbours(rows: DataFrame, is_query: Column, k: int = TOP) -> DataFrame:
+def neighbours(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): of each row (vec_id, embedding) that is a query, the ``k`` nearest other rows found."""
     x = usable(rows)
-    nodes = written(classes(x), "ann-classes")
+    asked = usable(rows.where(is_query)).withColumnRenamed("vec_id", "query_id")
+    nodes = written(classes(x, k), "ann-classes")
+    found = None
+    for r in nodes.select(F.size("embedding").alias("n")).distinct().orderBy("n").collect():
+        same = F.size("embedding") == r.n
+        part = _of_one_length(nodes.where(same), asked.where(same), k)
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _of_one_length(nodes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    asked = written(asked.join(nodes.select("node", "embedding"), "embedding").select("query_id", F.col("node").alias("q")), "ann-queries")
+    if not asked.limit(1).count():
+        return asked.select("query_id", F.lit(0).alias("rank"), F.col("q").alias("vec_id"), F.lit(0.0).alias("score"))
     graph = build_graph(nodes)
-    asked = x.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding").join(nodes.select("node", "embedding"), "embedding").select("query_id", F.col("node").alias("q"))
-    asked = written(asked, "ann-queries")
-    queries = nodes.join(asked.select(F.col("q").alias("node")).distinct(), "node", "left_semi").withColumnRenamed("node", "q")
-    near = search(written(queries.select("q", "embedding"), "ann-asked"), graph, nodes)
-    near = near.unionByName(asked.select("q", F.col("q").alias("u"), F.lit(0.0).alias("d")).distinct())
-    # the least ids of the nodes found, one more than asked for, as one may be the query's own
+    queries = written(nodes.join(asked.select(F.col("q").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("q"), "embedding"), "ann-asked")
+    near = search(queries, graph, nodes, max(256, 8 * k))
+    # of the nodes found, the nearest k + 1, as one may be the query's own; measured anew
+    best = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "u"))).where(F.col("r") <= k + 1).select("q", "u")
+    best = best.join(nodes.select(F.col("node").alias("u"), F.col("embedding").alias("there")), "u").join(queries.withColumnRenamed("embedding", "here"), "q")
+    near = best.select("q", "u", distance("here", "there").alias("d")).unionByName(asked.select("q", F.col("q").alias("u"), F.lit(0.0).alias("d")).distinct())
     ids = near.join(nodes.select(F.col("node").alias("u"), "ids"), "u").select("q", "d", F.explode("ids").alias("vec_id"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "vec_id"))
     least = ids.withColumn("r", rank).where(F.col("r") <= k + 1)

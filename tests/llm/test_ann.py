@@ -61,3 +61,40 @@ def test_few_rows(spark):
     assert found == [(0, 1, 2, 1.0), (0, 2, 1, math.sqrt(5))]
     assert ann.neighbours(spark.createDataFrame(rows([(0, [1.0, 0.0])]), SCHEMA), F.lit(True)).count() == 0
     assert ann.neighbours(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
+
+
+def recall(spark, vectors, queries, k=10):
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors], "vec_id long, embedding array<float>")
+    stored = {r.vec_id: r.embedding for r in table.collect()}
+    got = {}
+    for r in ann.neighbours(table, F.col("vec_id").isin(queries), k).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    exact = [(i, stored[i]) for i, _ in vectors]
+    assert all(len(got[q]) == min(k, len(vectors) - 1) for q in queries)
+    return sum(len(got[q] & {n for _, n in brute(exact, q, k)}) for q in queries) / (k * len(queries))
+
+
+def test_recall_with_an_outlier_and_a_tight_cluster(spark):
+    r = np.random.default_rng(4)
+    spread = r.standard_normal((1400, 16))
+    spread /= np.linalg.norm(spread, axis=1, keepdims=True)
+    cluster = spread[0] * (1 + 1e-6) + 1e-4 * r.standard_normal((700, 16))
+    vectors = list(enumerate([*spread, *cluster, spread[1] * 1e9]))
+    queries = [*range(0, 1400, 140), *range(1400, 2100, 70)]
+    assert recall(spark, vectors, queries) >= 0.9
+
+
+def test_many_neighbours(spark):
+    r = np.random.default_rng(5)
+    assert recall(spark, list(enumerate(r.standard_normal((41, 6)))), [0, 7], 20) == 1
+    vectors = list(enumerate(r.standard_normal((600, 6))))
+    assert recall(spark, vectors, [0, 100], 20) >= 0.9
+
+
+def test_each_length_is_searched_by_itself(spark):
+    r = np.random.default_rng(6)
+    vectors = [(i, r.standard_normal(4 if i < 30 else 6).tolist()) for i in range(50)]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    rows = ann.neighbours(table, F.col("vec_id").isin(0, 40), 3).collect()
+    assert sorted(x.query_id for x in rows) == [0] * 3 + [40] * 3
+    assert all((x.query_id < 30) == (x.vec_id < 30) for x in rows)
