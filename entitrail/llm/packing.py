@@ -3,7 +3,7 @@
 Each partition of the input packs its own documents in one pass, without a shuffle. A document gives full windows
 for each whole ``window`` of ids; the rest is placed, uncut, into the fill level that minimises the sum of squared
 counts of partially filled windows, which a level array tracks. Windows that are still open at the end of a partition
-(or when their ids pass ``open_ids``, which bounds memory) are laid end to end and cut anew into full windows; what
+(or when their ids pass ``open_ids``, a parameter that bounds memory and changes the layout, never the padding) are laid end to end and cut anew into full windows; what
 remains after that becomes windows whose lengths are powers of two, so no padding is needed.
 
 Defined cases: a null or empty text is its end id alone; a null ``doc_id`` is kept; repeated rows are packed each;
@@ -103,7 +103,7 @@ class Packer:
         return 1 << (left.bit_length() - 1) if last and left else 0
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, open_ids: int = 4_000_000) -> DataFrame:
     """Pieces of the documents (doc_id, text), see SCHEMA; ``sequence_id`` is the partition and a number within it."""
     end = int(end_id).to_bytes(4, "little")
 
@@ -121,7 +121,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -
             rows.clear()
             return batch
 
-        packer = Packer(window, emit)
+        packer = Packer(window, emit, open_ids)
         for doc_ids, texts in text_slices(batches):
             for doc_id, ids in zip(doc_ids, coder.encode(texts)):
                 packer.add(doc_id, ids + end)
