@@ -1,4 +1,4 @@
-"""The command line: ``mark``, ``mark-batch`` and ``validate``.
+"""The command line: ``mark``, ``mark-batch``, ``validate`` and ``labels``.
 
 Results go to standard output or a file, messages to standard error. Any error ends with status 2 before a file is
 written.
@@ -14,6 +14,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 
 from .config import MatchingConfig
+from .operators.export import labeling_config
 from .plans.marking import Marking, mark, mark_batch
 from .sources.batch import read_batch, with_texts
 from .sources.catalog import catalog_frame, parse_catalog
@@ -23,8 +24,9 @@ log = logging.getLogger("entitrail")
 FORMATS = ("predictions", "occurrences", "annotations")
 
 
-def _session() -> SparkSession:
-    spark = SparkSession.builder.appName("entitrail").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+def _session(progress: bool | None) -> SparkSession:
+    shown = sys.stderr.isatty() if progress is None else progress
+    spark = SparkSession.builder.appName("entitrail").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", str(shown).lower()).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -63,7 +65,7 @@ def _mark(args: argparse.Namespace) -> None:
         text = sys.stdin.buffer.read().decode("utf-8")
     if not text:
         raise ValueError("the text must not be empty")
-    spark = _session()
+    spark = _session(args.progress)
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     payload, reports = _payloads(mark(docs, catalog_frame(spark, [("catalog", catalog)]), _config(args)), args.format, bool(args.evidence_output))
     if args.evidence_output:
@@ -73,7 +75,7 @@ def _mark(args: argparse.Namespace) -> None:
 
 def _mark_batch(args: argparse.Namespace) -> None:
     distinct_paths(args.csv, [x for x in (args.output, args.evidence_output) if x])
-    spark = _session()
+    spark = _session(args.progress)
     rows = with_texts(read_batch(spark, args.csv), args.txts_dir)
     marking = mark_batch(rows, _config(args))
     payload, reports = _payloads(marking, args.format, bool(args.evidence_output))
@@ -91,6 +93,13 @@ def _validate(args: argparse.Namespace) -> None:
     print("The catalog is valid.")
 
 
+def _labels(args: argparse.Namespace) -> None:
+    if args.output:
+        write_utf8_atomic(args.output, labeling_config())
+    else:
+        print(labeling_config(), end="")
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="entitrail", description="Find mentions of known entities in texts.")
     commands = top.add_subparsers(dest="command", required=True)
@@ -101,6 +110,7 @@ def parser() -> argparse.ArgumentParser:
     shared.add_argument("--max-errors", type=int, default=1)
     shared.add_argument("--disable-fuzzy", action="store_true")
     shared.add_argument("--pretty", action="store_true")
+    shared.add_argument("--progress", action=argparse.BooleanOptionalAction, default=None, help="a progress bar on standard error; by default if that is a terminal")
     shared.add_argument("-v", "--verbose", action="count", default=0)
     one = commands.add_parser("mark", parents=[shared], help="mark one text with one catalog")
     one.add_argument("--objects", required=True)
@@ -113,6 +123,9 @@ def parser() -> argparse.ArgumentParser:
     check = commands.add_parser("validate", help="check a catalog")
     check.add_argument("--objects", required=True)
     check.set_defaults(run=_validate)
+    config = commands.add_parser("labels", help="the labelling configuration of an annotation tool")
+    config.add_argument("--output")
+    config.set_defaults(run=_labels)
     return top
 
 

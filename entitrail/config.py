@@ -9,6 +9,7 @@ from .schema import BUDGETS, BY_NAME, EXTRA_WEIGHTS
 
 @dataclass(frozen=True)
 class MatchingConfig:
+    # Names and defaults of the parameters.
     fuzzy_enabled: bool = True
     max_errors: int = 1
     min_fuzzy_pattern_length: int = 4
@@ -20,7 +21,9 @@ class MatchingConfig:
     field_weights: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        for name in ("max_errors", "min_fuzzy_pattern_length", "evidence_window", "max_separator_gap"):
+        if self.min_fuzzy_pattern_length < 1:
+            raise ValueError("min_fuzzy_pattern_length must be at least 1")
+        for name in ("max_errors", "evidence_window", "max_separator_gap"):
             if getattr(self, name) < 0:
                 raise ValueError(f"{name} must not be negative")
         for name in ("acceptance_threshold", "ambiguity_margin", "evidence_bonus"):

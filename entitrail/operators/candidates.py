@@ -2,23 +2,26 @@
 
 Runs in Arrow batches over documents. The aliases of a catalog are compiled once into multi-pattern automata: of the values as written, and
 by profile of the normalized values and of the parts that a misspelled one must still contain. One pass over a text
-and its normalized forms then finds the places worth a closer look, however many aliases there are.
+and its normalized forms then finds the places worth a closer look and the aliases that they belong to; no others are
+looked at, however many there are. The same pass resolves the document's candidates.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from ..config import MatchingConfig, allowed_distance
 from ..functions.normalize import Normalized, normalize
 from ..functions.search import fuzzy_spans, pieces
 from .boundaries import acceptable, bounded
+from .document import resolve
 
 METHODS = ("exact", "normalized", "bitap")
 #: Characters that evidence does not reach across.
@@ -29,10 +32,6 @@ _CANDIDATE = [
     ("weight", pa.float64()), ("profile", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("matched_text", pa.string()),
     ("score", pa.float64()), ("method", pa.int32()), ("edit_distance", pa.int32()), ("barriers_before", pa.int32()), ("barriers_within", pa.int32()),
 ]
-SCHEMA = (
-    "alias_ord int, entity_type string, entity_id string, field_name string, value string, weight double, profile string, start int, end int, "
-    "matched_text string, score double, method int, edit_distance int, barriers_before int, barriers_within int"
-)
 
 
 class _Patterns:
@@ -61,26 +60,37 @@ class Matcher:
 
     def __init__(self, aliases: list[dict], config: MatchingConfig):
         self.config, self.aliases = config, []
-        strings: dict[str, set[str]] = defaultdict(set)
-        for order, a in enumerate(aliases):
+        written: dict[str, list[int]] = defaultdict(list)
+        formed: dict[str, dict[str, list[int]]] = defaultdict(lambda: defaultdict(list))
+        self.always: list[int] = []  # a budget as long as the pattern leaves no part to look for
+        for i, a in enumerate(aliases):
             pattern = normalize(a["value"], a["profile"]).value
             budget = allowed_distance(a["entity_type"], a["field_name"], a["value"], len(pattern), config) if pattern else 0
-            self.aliases.append((order, a, pattern, budget))
+            self.aliases.append((a.get("alias_ord", i), a, pattern, budget))
+            written[a["value"]].append(i)
             if pattern:
-                strings[a["profile"]].add(pattern)
-                if budget and len(pattern) > budget:
-                    strings[a["profile"]] |= {part for _, part in pieces(pattern, budget)}
-        self.written = _Patterns({a["value"] for a in aliases})
-        self.by_profile = {p: _Patterns(s) for p, s in strings.items()}
+                for string in {pattern, *(part for _, part in pieces(pattern, budget))} if budget and len(pattern) > budget else {pattern}:
+                    formed[a["profile"]][string].append(i)
+                if budget >= len(pattern):
+                    self.always.append(i)
+        self.written, self.of_written = _Patterns(set(written)), written
+        self.by_profile = {p: _Patterns(set(s)) for p, s in formed.items()}
+        self.of_formed = {p: dict(s) for p, s in formed.items()}
 
     def candidates(self, text: str) -> list[tuple]:
         """(alias, alias's order, start, end, score, method's number, distance), exact ones of an alias first."""
         written = self.written.places(text)
+        hit = {i for s in written for i in self.of_written[s]} | set(self.always)
         forms: dict[str, Normalized] = {}
         places: dict[str, dict[str, list[int]]] = {}
+        for profile, patterns in self.by_profile.items():
+            forms[profile] = normalize(text, profile)
+            places[profile] = patterns.places(forms[profile].value)
+            hit |= {i for s in places[profile] for i in self.of_formed[profile][s]}
         fuzzy: dict[tuple[str, str, int], list[tuple[int, int, int]]] = {}
         out = []
-        for order, a, pattern, budget in self.aliases:
+        for i in sorted(hit):
+            order, a, pattern, budget = self.aliases[i]
             value, profile, name, weight = a["value"], a["profile"], a["field_name"], a["weight"]
             explained: set[tuple[int, int]] = set()
             for start in written.get(value, ()):
@@ -89,9 +99,6 @@ class Matcher:
                     out.append((a, order, start, start + len(value), weight * 1, 0, 0))
             if not pattern:
                 continue
-            if profile not in forms:
-                forms[profile] = normalize(text, profile)
-                places[profile] = self.by_profile[profile].places(forms[profile].value)
             n, at = forms[profile], places[profile]
             for start in at.get(pattern, ()):
                 if acceptable(n, start, start + len(pattern), profile, name, value, self.config.max_separator_gap):
@@ -130,60 +137,75 @@ class _Spans:
         return i > 0 and self.furthest[i - 1] > a
 
 
-def _rows(matcher: Matcher, text: str) -> list[tuple]:
+def _rows(matcher: Matcher, text: str) -> list[dict]:
     found = matcher.candidates(text)
     if not found:
         return []
     barriers = np.array([i for i, c in enumerate(text) if c in BARRIERS], dtype=np.int64)
-    before = np.searchsorted(barriers, [x[2] for x in found])
-    within = np.searchsorted(barriers, [x[3] for x in found]) - before
+    before = np.searchsorted(barriers, [x[2] for x in found]).tolist()
+    within = np.searchsorted(barriers, [x[3] for x in found]).tolist()
+    names = [name for name, _ in _CANDIDATE]
     return [
-        (order, a["entity_type"], a["entity_id"], a["field_name"], a["value"], a["weight"], a["profile"], start, end, text[start:end], score, method, distance, int(b), int(w))
+        dict(zip(names, (order, a["entity_type"], a["entity_id"], a["field_name"], a["value"], a["weight"], a["profile"], start, end, text[start:end], score, method, distance, b, w - b)))
         for (a, order, start, end, score, method, distance), b, w in zip(found, before, within)
     ]
 
 
-def _batch(keys: list, rows: list[tuple], key_type: pa.DataType, key: str) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [()] * len(_CANDIDATE)
-    return pa.RecordBatch.from_arrays([pa.array(keys, key_type), *(pa.array(c, kind) for c, (_, kind) in zip(columns, _CANDIDATE))], names=[key, *(name for name, _ in _CANDIDATE)])
-
-
 #: Aliases that one pass over the documents searches for; a larger catalog takes several.
 ALIASES_PER_PASS = 100_000
+#: What support is told of.
+_SUPPORT = [("place", pa.int32()), *((n, k) for n, k in _CANDIDATE if n not in ("alias_ord", "barriers_before", "barriers_within"))]
+_MENTION = pa.struct(
+    [*_CANDIDATE, ("place", pa.int32()), ("combined", pa.float64()), ("support", pa.list_(pa.struct(_SUPPORT))), ("reason", pa.string()), ("n", pa.int32()), ("reject_ord", pa.int32())]
+)
+_SQL = {pa.int32(): "int", pa.string(): "string", pa.float64(): "double"}
+_SUPPORT_SQL = ",".join(f"`{n}`:{_SQL[k]}" for n, k in _SUPPORT)
+#: The type of ``mentions``, which marking adds to documents.
+MENTIONS = f"array<struct<{','.join(f'`{n}`:{_SQL[k]}' for n, k in _CANDIDATE)},place:int,combined:double,support:array<struct<{_SUPPORT_SQL}>>,reason:string,n:int,reject_ord:int>>"
+#: Mentions of this many documents, or rather characters of text, are put out at a time.
+_PART_ROWS, _PART_CHARS = 500, 4_000_000
 
 
-def find_candidates(documents: DataFrame, aliases: list[dict], config: MatchingConfig, key: str = "doc_id") -> DataFrame:
-    """Candidates of one catalog in all documents (key, text). ``aliases`` go to every task; see ``find_in_passes`` for many."""
-    shared = documents.sparkSession.sparkContext.broadcast(aliases)
+def _mapped(documents: DataFrame, each: Callable[[pa.RecordBatch, int], list[dict]], drop: tuple[str, ...] = ()) -> DataFrame:
+    """``documents`` with ``mentions``, as ``each`` gives them of a batch's row; all columns stay but ``drop``."""
+    kept = [c for c in documents.columns if c not in (*drop, "mentions")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value, config)
         for batch in batches:
-            keys, rows = [], []
-            for i in range(batch.num_rows):
-                own = _rows(matcher, batch.column(1)[i].as_py() or "")
-                keys += [batch.column(0)[i].as_py()] * len(own)
-                rows += own
-                if len(rows) > 20_000:
-                    yield _batch(keys, rows, batch.schema.field(0).type, key)
-                    keys, rows = [], []
-            yield _batch(keys, rows, batch.schema.field(0).type, key)
+            step = min(_PART_ROWS, max(1, batch.num_rows * _PART_CHARS // max(batch.nbytes, 1)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                found = pa.array([each(part, i) for i in range(part.num_rows)], pa.list_(_MENTION))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), found], names=[*kept, "mentions"])
 
-    kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, "text").mapInArrow(run, f"{key} {kind}, {SCHEMA}")
+    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in kept)
+    return documents.mapInArrow(run, f"{schema}, mentions {MENTIONS}")
 
 
-def find_per_row(documents: DataFrame, config: MatchingConfig, key: str = "doc_id") -> DataFrame:
-    """Candidates where each document brings its own catalog: (key, text, aliases), see ``alias_arrays``. No shuffle."""
+def mark_texts(documents: DataFrame, passes: list[Broadcast], config: MatchingConfig) -> DataFrame:
+    """``documents`` (..., text) with ``mentions``: the candidates of one catalog, resolved.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, rows = [], []
-            for i in range(batch.num_rows):
-                own = _rows(Matcher(batch.column(2)[i].as_py() or [], config), batch.column(1)[i].as_py() or "")
-                keys += [batch.column(0)[i].as_py()] * len(own)
-                rows += own
-            yield _batch(keys, rows, batch.schema.field(0).type, key)
-
-    kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, "text", "aliases").mapInArrow(run, f"{key} {kind}, {SCHEMA}")
+    ``passes`` are lists of aliases with their order ``alias_ord`` over all, each of which a task holds at a time.
+    """
+    for k, shared in enumerate(passes, 1):
+        memo: dict = {}
+
+        def each(batch: pa.RecordBatch, i: int, shared=shared, memo=memo, last=k == len(passes)) -> list[dict]:
+            if "matcher" not in memo:
+                memo["matcher"] = Matcher(shared.value, config)
+            found = _rows(memo["matcher"], batch.column("text")[i].as_py() or "")
+            if "mentions" in batch.schema.names:
+                found += batch.column("mentions")[i].as_py()
+            return resolve(found, config) if last else found
+
+        documents = _mapped(documents, each)
+    return documents
+
+
+def mark_rows(documents: DataFrame, config: MatchingConfig) -> DataFrame:
+    """Where each document brings its own catalog: (..., text, aliases), see ``alias_arrays``. No shuffle."""
+
+    def each(batch: pa.RecordBatch, i: int) -> list[dict]:
+        return resolve(_rows(Matcher(batch.column("aliases")[i].as_py() or [], config), batch.column("text")[i].as_py() or ""), config)
+
+    return _mapped(documents, each, ("aliases",))

@@ -1,6 +1,7 @@
-"""Resolution of candidates: duplicates, local evidence, ambiguity, threshold and overlaps, as windows and keyed joins.
+"""Resolution of tables of candidates: duplicates, local evidence, ambiguity, threshold and overlaps, as windows and keyed joins.
 
-Every step is keyed by document and entity or span. The evidence join meets neighbours by cells of text, so its work
+Marking resolves documents where they are matched (``document.py``); these operators take candidates from anywhere. A key
+must name one text. Every step is keyed by document and entity or span. The evidence join meets neighbours by cells of text, so its work
 grows with the candidates near each other, not with the square of an entity's mentions. The one step in sequence, greedy
 overlap resolution, folds a run of mutually overlapping mentions at a time.
 """
@@ -17,8 +18,10 @@ AMBIGUOUS = "ambiguous entity identity"
 WEAK = "insufficient local evidence"
 OVERLAP = "overlap with stronger occurrence"
 
+#: Parts of a name, which may lie within a full name of another role.
+NAME_PARTS = ("first_name", "last_name", "middle_name", "previous_last_name")
 #: Fields whose parts are their own evidence, which is no further one.
-_COMPOSITES = ("full_name", "previous_full_name", "series_number")
+COMPOSITES = ("full_name", "previous_full_name", "series_number")
 
 
 def _rank() -> list[Column]:
@@ -39,22 +42,29 @@ def neighbours(unique: DataFrame, config: MatchingConfig, key: str = "doc_id") -
     rows = unique.select(key, "entity_type", "entity_id", *cols)
     left = rows.withColumn("cell", F.explode(F.sequence(F.floor(F.col("end") / cell), F.floor((F.col("end") + config.evidence_window) / cell))))
     right = rows.withColumn("cell", F.floor(F.col("start") / cell))
-    on = [key, "entity_type", "entity_id", "cell"]
-    pairs = left.select(*on, F.struct(*cols).alias("l")).join(right.select(*on, F.struct(*cols).alias("r")), on)
+    on = ["entity_type", "entity_id", "cell"]
+    left, right = left.select(key, *on, F.struct(*cols).alias("l")), right.select(F.col(key).alias("_key"), *on, F.struct(*cols).alias("r"))
+    pairs = left.join(right.withColumnsRenamed({c: f"_{c}" for c in on}), [F.col(key).eqNullSafe(F.col("_key")), *(F.col(c) == F.col(f"_{c}") for c in on)])
     gap = F.col("r.start") - F.col("l.end")
     clear = F.col("l.barriers_before") + F.col("l.barriers_within") == F.col("r.barriers_before")
     pairs = pairs.where((gap >= 0) & (gap <= config.evidence_window) & clear & (F.col("l.field_name") != F.col("r.field_name"))).select(key, "l", "r")
     return pairs.selectExpr(key, "l.place place", "r other").unionByName(pairs.selectExpr(key, "r.place place", "l other"))
 
 
+def _joined(rows: DataFrame, more: DataFrame, key: str) -> DataFrame:
+    """``rows`` with what ``more`` says of a key's place; a null key is one like any other."""
+    more = more.withColumnsRenamed({key: "_key", "place": "_place"})
+    return rows.join(more, F.col(key).eqNullSafe(F.col("_key")) & (F.col("place") == F.col("_place")), "left").drop("_key", "_place")
+
+
 def with_evidence(unique: DataFrame, config: MatchingConfig, key: str = "doc_id") -> DataFrame:
     """``unique`` with ``support``, the best neighbour of each other field, and ``combined``, the score with its bonus."""
     best = Window.partitionBy(key, "place", "other.field_name").orderBy("other.place")
     supports = neighbours(unique, config, key).withColumn("n", F.row_number().over(best)).where("n = 1")
     item = F.struct("other.place", "other.field_name", "other.start", "other.end", "other.score", "other.method", "other.edit_distance", "other.value", "other.matched_text")
     supports = supports.groupBy(key, "place").agg(F.sort_array(F.collect_list(item)).alias("support"), F.max("other.score").alias("strongest"))
-    bonus = F.when(F.col("field_name").isin(*_COMPOSITES), 0.0).otherwise(config.evidence_bonus * F.coalesce("strongest", F.lit(0.0)))
-    return unique.join(supports, [key, "place"], "left").withColumn("combined", F.least(F.lit(1.0), F.col("score") + bonus)).drop("strongest")
+    bonus = F.when(F.col("field_name").isin(*COMPOSITES), 0.0).otherwise(config.evidence_bonus * F.coalesce("strongest", F.lit(0.0)))
+    return _joined(unique, supports, key).withColumn("combined", F.least(F.lit(1.0), F.col("score") + bonus)).drop("strongest")
 
 
 def decided(scored: DataFrame, config: MatchingConfig, key: str = "doc_id") -> DataFrame:
@@ -77,7 +87,7 @@ def _compatible(a: Column, b: Column) -> Column:
     """Different roles may share text: one span, or a person's name part within a sender's full name."""
 
     def within(person: Column, sender: Column) -> Column:
-        named = person["field_name"].isin("first_name", "last_name", "middle_name", "previous_last_name") & (sender["field_name"] == "full_name")
+        named = person["field_name"].isin(*NAME_PARTS) & (sender["field_name"] == "full_name")
         return (person["entity_type"] == "person") & (sender["entity_type"] == "sender") & named & (sender["start"] <= person["start"]) & (person["end"] <= sender["end"])
 
     same = (a["start"] == b["start"]) & (a["end"] == b["end"])
@@ -97,7 +107,7 @@ def without_overlaps(accepted: DataFrame, key: str = "doc_id") -> DataFrame:
     none = F.filter("items", lambda x: F.lit(False))
     keep = F.aggregate("items", none, lambda kept, x: F.when(F.exists(kept, lambda o: _overlaps(x, o) & ~_compatible(x, o)), kept).otherwise(F.array_append(kept, x)))
     kept = runs.select(key, F.explode(F.transform(keep, lambda x: x["place"])).alias("place")).withColumn("kept", F.lit(True))
-    return accepted.join(kept, [key, "place"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    return _joined(accepted, kept, key).withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
 def resolved(candidates: DataFrame, config: MatchingConfig, key: str = "doc_id") -> DataFrame:

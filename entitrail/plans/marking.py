@@ -1,71 +1,107 @@
-"""Marking: the whole way from catalogs and texts to occurrences, rejections and exports."""
+"""Marking: the whole way from catalogs and texts to occurrences, rejections and exports.
+
+One pass over the documents matches and resolves; everything else is a projection of its rows, so a plan reads the texts
+once, shuffles nothing and needs no key: null and repeated ids are rows like others.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import MatchingConfig
 from ..functions.morphology import Inflector, SuffixInflector
+from ..operators import candidates as matching
 from ..operators import export
 from ..operators.aliases import ORDER, alias_arrays, generate_aliases
-from ..operators.candidates import ALIASES_PER_PASS, find_candidates, find_per_row
-from ..operators.resolve import occurrences, rejections, resolved
+from ..operators.resolve import DUPLICATE
+
+ALIASES_PER_PASS = matching.ALIASES_PER_PASS
+_FOUND = ["alias_ord", "entity_type", "entity_id", "field_name", "value", "weight", "profile", "start", "end", "matched_text", "score", "method", "edit_distance", "barriers_before", "barriers_within"]
 
 
 @dataclass(frozen=True)
 class Marking:
-    """Results over ``documents`` (key, text): lazily computed frames."""
+    """Results over ``marked``, (key, text, mentions, ...): lazily computed frames."""
 
-    documents: DataFrame
-    candidates: DataFrame
-    rows: DataFrame
+    marked: DataFrame
     key: str = "doc_id"
 
+    @property
+    def mentions(self) -> DataFrame:
+        return self.marked.select(self.key, F.inline("mentions"))
+
+    @property
+    def candidates(self) -> DataFrame:
+        return self.mentions.select(self.key, *_FOUND)
+
+    @property
+    def rows(self) -> DataFrame:
+        """Every candidate with place, support, combined and reason; accepted ones have no reason."""
+        return self.mentions.select(self.key, *_FOUND, "place", "support", "combined", "reason")
+
+    @property
+    def unique(self) -> DataFrame:
+        """Of one entity, field and span, the best."""
+        return self.rows.where(~F.col("reason").eqNullSafe(DUPLICATE))
+
     @property
     def occurrences(self) -> DataFrame:
-        return occurrences(self.rows, self.key)
+        named = self.mentions.where("n is not null")
+        return named.select(self.key, "n", export.region_id(F.col("n")).alias("region_id"), "entity_type", "entity_id", "field_name", "start", "end", "matched_text", F.col("value").alias("source_value"), F.col("combined").alias("score"), "method", "edit_distance", "support")
 
     @property
     def rejected(self) -> DataFrame:
-        return rejections(self.rows, self.key)
+        return self.mentions.where("reject_ord is not null").select(self.key, "reject_ord", "entity_type", "entity_id", "field_name", "value", "weight", "profile", "start", "end", "matched_text", "score", "method", "edit_distance", "reason")
 
     def predictions(self, **options: str) -> DataFrame:
-        return export.tasks(self.documents, self.occurrences, self.key, **options)
+        return export.tasks(self.marked, self.key, **options)
 
     def annotations(self) -> DataFrame:
-        return export.tasks(self.documents, self.occurrences, self.key, annotations=True)
+        return export.tasks(self.marked, self.key, annotations=True)
 
     def evidence(self) -> DataFrame:
-        return export.evidence(self.documents, self.occurrences, self.rejected, self.key)
+        return export.evidence(self.marked, self.key)
+
+
+def _numbered(aliases: DataFrame) -> DataFrame:
+    """``aliases`` with ``alias_ord``, their place in the one order of all; ranges are counted, and only counts meet in the driver."""
+    spark, columns = aliases.sparkSession, [*ORDER, "profile"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = aliases.select(*columns).repartitionByRange(parts, *columns).sortWithinPartitions(*columns)
+    placed = placed.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33))
+    base, before = 0, []
+    for r in sorted(placed.groupBy("part").count().collect(), key=lambda r: r.part):
+        before.append((r.part, base))
+        base += r["count"]
+    starts = F.broadcast(spark.createDataFrame(before, "part long, base long"))
+    return placed.join(starts, "part").withColumn("alias_ord", (F.col("base") + F.col("at") - F.shiftleft("part", 33)).cast("int")).drop("part", "at", "base")
 
 
-def candidates_of(documents: DataFrame, aliases: DataFrame, config: MatchingConfig, key: str = "doc_id") -> DataFrame:
-    """Candidates of one catalog's aliases in all documents.
+def alias_passes(aliases: DataFrame) -> Iterator[Broadcast]:
+    """Aliases in their order, numbered over all, in lists of at most ALIASES_PER_PASS, each sent to every task.
 
-    Up to ALIASES_PER_PASS aliases are checked by count and sent to every task. More are searched for in passes
-    over the documents, each with as many, so what is broadcast never grows with the catalog.
+    Their count is checked first. What is sent at a time never grows with the catalog: more take several passes.
     """
-    columns = [*ORDER, "profile"]
+    spark, most = aliases.sparkSession, ALIASES_PER_PASS
     n = aliases.count()
-    if n <= ALIASES_PER_PASS:
-        return find_candidates(documents, [r.asDict() for r in aliases.select(*columns).orderBy(*ORDER).collect()], config, key)
-    passes = -(-n // (ALIASES_PER_PASS // 2))
-    each = []
-    for i in range(passes):
-        own = aliases.where(F.pmod(F.xxhash64(*ORDER), F.lit(passes)) == i).select(*columns).orderBy(*ORDER).collect()
-        each.append(find_candidates(documents, [r.asDict() for r in own], config, key))
-    return reduce(DataFrame.unionByName, each)
+    if n <= most:
+        rows = aliases.select(*ORDER, "profile").orderBy(*ORDER, "profile").collect()
+        yield spark.sparkContext.broadcast([{**r.asDict(), "alias_ord": i} for i, r in enumerate(rows)])
+        return
+    numbered = _numbered(aliases)
+    for at in range(0, n, most):
+        own = numbered.where((F.col("alias_ord") >= at) & (F.col("alias_ord") < at + most)).orderBy("alias_ord").collect()
+        yield spark.sparkContext.broadcast([r.asDict() for r in own])
 
 
 def mark_aliases(documents: DataFrame, aliases: DataFrame, config: MatchingConfig | None = None, key: str = "doc_id") -> Marking:
     """Marks (key, text) with a table of aliases (entity_type, entity_id, field_name, value, weight, profile)."""
-    config = config or MatchingConfig()
-    found = candidates_of(documents, aliases, config, key)
-    return Marking(documents, found, resolved(found, config, key), key)
+    return Marking(matching.mark_texts(documents, [*alias_passes(aliases)], config or MatchingConfig()), key)
 
 
 def mark(documents: DataFrame, catalog: DataFrame, config: MatchingConfig | None = None, inflector: Inflector | None = None, key: str = "doc_id") -> Marking:
@@ -74,6 +110,13 @@ def mark(documents: DataFrame, catalog: DataFrame, config: MatchingConfig | None
     return mark_aliases(documents, generate_aliases(catalog, config, inflector or SuffixInflector()), config, key)
 
 
+def mark_listed(documents: DataFrame, aliases: list[dict], config: MatchingConfig | None = None, key: str = "doc_id") -> Marking:
+    """Marks with aliases that are at hand, also on a stream."""
+    spark: SparkSession = documents.sparkSession
+    rows = sorted(aliases, key=lambda a: tuple(a[c] for c in ORDER))
+    return Marking(matching.mark_texts(documents, [spark.sparkContext.broadcast(rows)], config or MatchingConfig()), key)
+
+
 def mark_batch(rows: DataFrame, config: MatchingConfig | None = None, inflector: Inflector | None = None) -> Marking:
     """Marks each row's text with its own catalog. ``rows`` as of ``with_texts``; rows without a text are left out.
 
@@ -86,5 +129,4 @@ def mark_batch(rows: DataFrame, config: MatchingConfig | None = None, inflector:
     named = F.to_json(F.struct(F.col("version_id").alias("versionId"), "source_csv", F.col("row_number").alias("source_row"), "text_file"))
     known = F.when(F.size("identifiers") > 0, F.concat(F.expr("rtrim('}', to_json(identifiers))"), F.lit(","), F.substring(named, 2, 1 << 30))).otherwise(named)
     documents = rows.where("text is not null").withColumn("metadata", known).select("row_key", "text", "metadata")
-    found = find_per_row(documents.join(own, "row_key"), config, "row_key")
-    return Marking(documents, found, resolved(found, config, "row_key"), "row_key")
+    return Marking(matching.mark_rows(documents.join(own, "row_key", "left"), config), "row_key")

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from ..config import MatchingConfig
 from ..operators.aliases import generate_aliases
-from ..operators.resolve import deduplicated, neighbours, with_evidence
+from ..operators.resolve import DUPLICATE, neighbours
 from ..schema import ALIAS, CATALOG, field
 from ..sources.catalog import validate
-from .marking import Marking, candidates_of, mark, mark_aliases
+from .marking import Marking, mark, mark_aliases
 
 #: (type, id, field, value): names that share text, surnames of two people, an organization that overlaps an address.
 NAMED = (
@@ -35,6 +35,7 @@ NAMED = (
     ("sender", "s1", "full_name", "Apache License"),
 )
 LITERAL = MatchingConfig(fuzzy_enabled=False)
+EMAIL = r"[A-Za-z]+\.[0-9]+@[A-Za-z0-9]+\.[A-Za-z]+\.[A-Za-z]+"
 
 
 def _named() -> list[tuple]:
@@ -71,16 +72,16 @@ def normalized_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     doubled = [*_named(), *[("person", "p4", "last_name", "Une", 0.65, "name"), ("legal_entity", "l1", "name", "apache license", 0.9, "text")]]
     docs, aliases = documents(spark, sf_dir), spark.createDataFrame(doubled, ALIAS)
-    return deduplicated(candidates_of(docs, aliases, LITERAL)).groupBy("doc_id", "first").agg(F.count("*").alias("n"))
+    rows = mark_aliases(docs, aliases, LITERAL).rows.withColumn("first", ~F.col("reason").eqNullSafe(DUPLICATE))
+    return rows.groupBy("doc_id", "first").agg(F.count("*").alias("n"))
 
 
 def evidence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unique = deduplicated(_marking(spark, sf_dir).candidates).where("first")
-    return with_evidence(unique, LITERAL).select(*_MENTION, "score", F.coalesce(F.size("support"), F.lit(0)).cast("long").alias("n_support"), "combined")
+    return _marking(spark, sf_dir).unique.select(*_MENTION, "score", F.size("support").cast("long").alias("n_support"), "combined")
 
 
 def evidence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unique = deduplicated(_marking(spark, sf_dir).candidates).where("first")
+    unique = _marking(spark, sf_dir).unique
     pairs = neighbours(unique, LITERAL).join(unique.select("doc_id", "place", "start", "end"), ["doc_id", "place"])
     return pairs.select("doc_id", "start", "end", F.col("other.start").alias("other_start"), F.col("other.end").alias("other_end"), F.col("other.field_name").alias("other_field"))
 
@@ -98,6 +99,28 @@ def mark_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "region_id", "start", "end", F.col("matched_text").alias("text"), F.upper(F.concat_ws("_", "entity_type", "field_name")).alias("label"), "score")
 
 
+def rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rejection in its order."""
+    return _marking(spark, sf_dir).rejected.select("doc_id", "reject_ord", "entity_type", "entity_id", "field_name", "start", "end", "method", "reason")
+
+
+def repeated_doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marking where ids are null or repeat: each row is marked by itself."""
+    docs = documents(spark, sf_dir).withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 5))
+    found = mark_aliases(docs, spark.createDataFrame(_named(), ALIAS), LITERAL).occurrences
+    found = found.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
+    return found.groupBy("doc_id", "entity_type", "entity_id").agg(F.count("*").alias("n"), F.max("n").cast("long").alias("last_region"))
+
+
+def email_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-mail addresses of the first thousand documents, wherever they stand for themselves."""
+    docs = documents(spark, sf_dir)
+    known = docs.where("doc_id < 1000").select(F.lower(F.regexp_extract("text", EMAIL, 0)).alias("value")).where("value <> ''").distinct()
+    f = field("misc", "reply_email")
+    aliases = known.select(F.lit("misc").alias("entity_type"), F.col("value").alias("entity_id"), F.lit("reply_email").alias("field_name"), "value", F.lit(f.weight).alias("weight"), F.lit(f.profile).alias("profile"))
+    return mark_aliases(docs, aliases, LITERAL).candidates.select("doc_id", "entity_id", "start", "end", "matched_text", "method")
+
+
 def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _marking(spark, sf_dir).occurrences
     return found.groupBy(F.upper(F.concat_ws("_", "entity_type", "field_name")).alias("label")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
@@ -153,6 +176,18 @@ def alias_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate_aliases(_catalogs(customer, "documents", id="'doc'", series="s", number="n", document_type="t")).select("catalog_id", "field_name", "value", "profile", "weight")
 
 
+def alias_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names as they are given, birth dates in three forms."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("cast(c_custkey as string) catalog_id", "c_custkey k", "c_name f", "c_mktsegment l")
+    rows = _catalogs(customer, "people", id="'p'", first_name="f", last_name="l", previous_last_name="if(k % 2 = 0, f, null)", birth_date="date_add(date'1950-01-01', cast(k % 9000 as int))")
+    return generate_aliases(rows).select("catalog_id", "field_name", "value", "profile", "weight")
+
+
+def alias_legal_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("cast(s_suppkey as string) catalog_id", "s_name n", "lpad(cast(s_suppkey as string), 10, '0') i")
+    return generate_aliases(_catalogs(supplier, "legal_entities", id="'l'", inn="i", name="n")).select("catalog_id", "field_name", "value", "profile", "weight")
+
+
 def field_weight_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("cast(c_custkey as string) catalog_id", "c_name v")
     config = MatchingConfig(field_weights={"vin": 0.2})
@@ -176,18 +211,29 @@ QUERIES = {
     f.__name__: f
     for f in (
         mark_regions, candidate_spans, exact_spans, normalized_spans, dedup_candidates, evidence_pairs, evidence_scores, decisions, rejection_reasons,
-        label_counts, predictions_json, annotations_json, evidence_json, fuzzy_mentions, alias_dates, alias_case_numbers, alias_sender_names, alias_documents,
+        rejections, repeated_doc_ids, email_matches, label_counts, predictions_json, annotations_json, evidence_json, fuzzy_mentions, alias_dates, alias_case_numbers, alias_sender_names, alias_documents, alias_people, alias_legal_entities,
         field_weight_override, repeated_ids, inflected_people,
     )
 }
 
 
+_WORD_BOUNDS = """NOT regexp_matches(CASE WHEN "start" > 0 THEN substr(text, "start", 1) ELSE '' END, '[\\p{L}\\p{N}\\p{M}_]')
+    AND NOT regexp_matches(substr(text, "end" + 1, 1), '[\\p{L}\\p{N}\\p{M}_]')"""
+_EMAIL_BOUNDS = _WORD_BOUNDS + """
+    AND NOT regexp_matches(CASE WHEN "start" > 0 THEN substr(text, "start", 1) ELSE '' END, '[.%+@-]') AND NOT regexp_matches(substr(text, "end" + 1, 1), '[@%+-]')
+    AND NOT regexp_matches(substr(text, "end" + 1, 2), '[.][\\p{L}\\p{N}\\p{M}_]')"""
+
+
 def _candidates_sql(aliases: list[tuple]) -> str:
     """CTEs up to ``cand``: exact and normalized candidates of ``aliases``."""
     quoted = lambda x: f"'{x}'" if isinstance(x, str) else f"CAST({x} AS DOUBLE)"
     values = ", ".join(f"({i}, {', '.join(map(quoted, a))})" for i, a in enumerate(sorted(aliases)))
+    return _scan_sql(f"(VALUES {values})", _WORD_BOUNDS)
+
+
+def _scan_sql(aliases: str, bounds: str) -> str:
     return f"""
-aliases(alias_ord, entity_type, entity_id, field_name, value, weight, profile) AS (VALUES {values}),
+aliases(alias_ord, entity_type, entity_id, field_name, value, weight, profile) AS {aliases},
 scan AS (
   SELECT d.doc_id, d.text, a.*, m.method, CASE WHEN m.method = 0 THEN d.text ELSE lower(d.text) END AS hay,
          CASE WHEN m.method = 0 THEN a.value ELSE lower(a.value) END AS needle
@@ -200,8 +246,7 @@ hits AS (
 ), spans AS (SELECT *, CAST("start" + length(needle) AS INTEGER) AS "end" FROM hits),
 sound AS (
   SELECT * FROM spans
-  WHERE NOT regexp_matches(CASE WHEN "start" > 0 THEN substr(text, "start", 1) ELSE '' END, '[\\p{{L}}\\p{{N}}\\p{{M}}_]')
-    AND NOT regexp_matches(substr(text, "end" + 1, 1), '[\\p{{L}}\\p{{N}}\\p{{M}}_]')
+  WHERE {bounds}
 ), cand AS (
   SELECT doc_id, text, alias_ord, entity_type, entity_id, field_name, value, weight AS score, method, "start", "end",
          substr(text, "start" + 1, "end" - "start") AS matched_text
@@ -257,6 +302,11 @@ def _sql(select: str, stage: int = 2, aliases: list[tuple] | None = None) -> str
     return "WITH " + _candidates_sql(aliases or _named()) + (_RESOLVED_SQL if stage > 0 else "") + (_DECIDED_SQL if stage > 1 else "") + "\n" + select
 
 
+_JSON_SQL = """SELECT d.doc_id, to_json({{'data': {{'text': d.text}}, '{kind}': [{{{more}'result': coalesce(f.result, [])}}]}}) AS task
+FROM documents d LEFT JOIN (
+  SELECT doc_id, list({{'id': region_id, 'from_name': 'entities', 'to_name': 'text', 'type': 'labels', 'value': {{'start': "start", 'end': "end", 'text': matched_text, 'labels': [upper(entity_type || '_' || field_name)]}}}} ORDER BY region_id) AS result
+  FROM (SELECT *, format('r{{:06d}}', row_number() OVER (PARTITION BY doc_id ORDER BY "start", "end", entity_type, entity_id, field_name)) AS region_id FROM decided WHERE reason IS NULL) GROUP BY doc_id
+) f USING (doc_id)"""
 _M = 'doc_id, entity_type, entity_id, field_name, "start", "end"'
 _DOUBLED = [*_named(), ("person", "p4", "last_name", "Une", 0.65, "name"), ("legal_entity", "l1", "name", "apache license", 0.9, "text")]
 
@@ -273,6 +323,21 @@ ORACLE_SQL = {
         "SELECT doc_id, format('r{:06d}', row_number() OVER (PARTITION BY doc_id ORDER BY \"start\", \"end\", entity_type, entity_id, field_name)) AS region_id, "
         "\"start\", \"end\", matched_text AS text, upper(entity_type || '_' || field_name) AS label, combined AS score FROM decided WHERE reason IS NULL"
     ),
+    "predictions_json": _sql(_JSON_SQL.format(kind="predictions", more="'model_version': 'entitrail-1', ")),
+    "annotations_json": _sql(_JSON_SQL.format(kind="annotations", more="")),
+    "rejections": _sql(
+        f"SELECT {_M}, method, reason, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY stage, late_method, place_in, worst, shortness, late_start, late_end, late_type, late_id, late_field, place) AS INTEGER) AS reject_ord FROM ("
+        f"SELECT {_M}, method, place, 'duplicate alias or method' AS reason, 0 AS stage, 0 AS late_method, place AS place_in, 0.0 AS worst, 0 AS shortness, 0 AS late_start, 0 AS late_end, '' AS late_type, '' AS late_id, '' AS late_field FROM ranked WHERE NOT first "
+        f"UNION ALL SELECT {_M}, method, place, reason, 1, 0, first_seen, 0.0, 0, 0, 0, '', '', '' FROM (SELECT *, min(place) OVER (PARTITION BY doc_id, entity_type, \"start\", \"end\") AS first_seen FROM decided) WHERE reason IS NOT NULL AND reason NOT LIKE 'overlap%' "
+        f"UNION ALL SELECT {_M}, method, place, reason, 2, method, 0, -combined, \"start\" - \"end\", \"start\", \"end\", entity_type, entity_id, field_name FROM decided WHERE reason LIKE 'overlap%')"
+    ),
+    "repeated_doc_ids": _sql(
+        "SELECT CASE WHEN doc_id % 3 > 0 THEN doc_id % 5 ELSE -1 END AS doc_id, entity_type, entity_id, count(*) AS n, max(region) AS last_region FROM ("
+        "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY \"start\", \"end\", entity_type, entity_id, field_name) AS region FROM decided WHERE reason IS NULL) GROUP BY 1, 2, 3"
+    ),
+    "email_matches": "WITH " + _scan_sql(
+        f"(SELECT row_number() OVER (ORDER BY v), 'misc', v, 'reply_email', v, 0.95, 'email' FROM (SELECT DISTINCT lower(regexp_extract(text, '{EMAIL}')) AS v FROM documents WHERE doc_id < 1000) WHERE v <> '')", _EMAIL_BOUNDS
+    ) + '\nSELECT doc_id, entity_id, "start", "end", matched_text, method FROM cand',
     "label_counts": _sql("SELECT upper(entity_type || '_' || field_name) AS label, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM decided WHERE reason IS NULL GROUP BY 1"),
     "alias_dates": """
 SELECT CAST(o_orderkey AS VARCHAR) AS catalog_id, 'incoming_letter_date' AS field_name, unnest([strftime(o_orderdate, '%Y-%m-%d'), strftime(o_orderdate, '%d.%m.%Y'), strftime(o_orderdate, '%d/%m/%Y')]) AS value,
@@ -300,6 +365,17 @@ SELECT CAST(c_custkey AS VARCHAR) AS catalog_id, x.f AS field_name, x.v AS value
 FROM (SELECT c_custkey, unnest([
   {'f': 'series', 'v': CAST(c_nationkey AS VARCHAR), 'p': 'identifier', 'w': 0.40}, {'f': 'number', 'v': CAST(c_custkey AS VARCHAR), 'p': 'identifier', 'w': 0.90},
   {'f': 'series_number', 'v': c_nationkey || ' ' || c_custkey, 'p': 'identifier', 'w': 0.98}, {'f': 'document_type', 'v': c_mktsegment, 'p': 'text', 'w': 0.40}]) AS x FROM customer)""",
+    "alias_people": """
+SELECT CAST(c_custkey AS VARCHAR) AS catalog_id, x.f AS field_name, x.v AS value, x.p AS profile, CAST(x.w AS DOUBLE) AS weight
+FROM (SELECT c_custkey, unnest([
+  {'f': 'first_name', 'v': c_name, 'p': 'name', 'w': 0.50}, {'f': 'last_name', 'v': c_mktsegment, 'p': 'name', 'w': 0.65},
+  {'f': 'previous_last_name', 'v': CASE WHEN c_custkey % 2 = 0 THEN c_name END, 'p': 'name', 'w': 0.65},
+  {'f': 'birth_date', 'v': strftime(day, '%Y-%m-%d'), 'p': 'date', 'w': 0.70}, {'f': 'birth_date', 'v': strftime(day, '%d.%m.%Y'), 'p': 'date', 'w': 0.70}, {'f': 'birth_date', 'v': strftime(day, '%d/%m/%Y'), 'p': 'date', 'w': 0.70}]) AS x
+  FROM (SELECT *, DATE '1950-01-01' + CAST(c_custkey % 9000 AS INTEGER) AS day FROM customer))
+WHERE x.v IS NOT NULL""",
+    "alias_legal_entities": """
+SELECT CAST(s_suppkey AS VARCHAR) AS catalog_id, unnest(['inn', 'name']) AS field_name, unnest([lpad(CAST(s_suppkey AS VARCHAR), 10, '0'), s_name]) AS value, unnest(['tax_id', 'text']) AS profile,
+       unnest([CAST(1.0 AS DOUBLE), CAST(0.9 AS DOUBLE)]) AS weight FROM supplier""",
     "field_weight_override": """
 SELECT CAST(c_custkey AS VARCHAR) AS catalog_id, unnest(['vin', 'license_plate']) AS field_name, unnest([CAST(0.2 AS DOUBLE), CAST(0.95 AS DOUBLE)]) AS weight FROM customer""",
     "repeated_ids": """

@@ -10,6 +10,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import os
 import sys
 from collections.abc import Iterator
 from datetime import datetime
@@ -211,6 +212,11 @@ def with_texts(rows: DataFrame, texts_dir: str | None = None) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folders).select("path", "content")
     empty = spark.createDataFrame([(x, bytearray()) for x in _empty_files(spark, folders)], "path string, content binary")
     files = files.unionByName(empty).select(bare(F.col("path")).alias("at"), "content")
+    # a link must not lead out of the folder; only local files can be links
+    if all(f.startswith(("file:", "/")) or ":" not in f for f in folders):
+        checked_path = F.udf(lambda x: bool(x) and os.path.islink(x) and os.path.dirname(os.path.realpath(x)) != os.path.realpath(os.path.dirname(x)), "boolean")
+        escaped = checked_path(F.concat(F.lit("/"), F.col("at")))
+        files = files.withColumn("content", F.when(escaped, F.raise_error(F.concat(F.lit("a text file must lie inside its folder: "), "at"))).otherwise(F.col("content")))
     joined = rows.join(files, bare(F.col("text_file")) == F.col("at"), "left")
     text = F.when(F.length("content") == 0, F.raise_error(F.concat(F.lit("empty text: "), "text_file"))).otherwise(F.decode("content", "UTF-8"))
     return joined.withColumn("text", F.when(F.col("content").isNotNull(), text)).drop("at", "content")

@@ -1,8 +1,7 @@
 """Marking a stream of texts: the same matching and resolution, row by row.
 
-Windows over a document need all its candidates together, which a stream does not promise across batches. A document
-is one row, so each micro-batch holds all of its candidates: ``start_marking`` runs the batch plan on every micro-batch, and
-``candidate_stream`` is the stateless part as a plain streaming frame.
+A document is one row and is resolved where it is matched, so marking has no state: ``marked_stream`` is a plain streaming
+frame, and ``start_marking`` hands the batch API of each micro-batch to a sink.
 """
 
 from __future__ import annotations
@@ -13,14 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import MatchingConfig
-from ..operators.candidates import find_candidates
-from ..plans.marking import Marking
-from ..operators.resolve import resolved
+from ..plans.marking import Marking, mark_listed
+
+
+def marked_stream(documents: DataFrame, aliases: list[dict], config: MatchingConfig | None = None, key: str = "doc_id") -> Marking:
+    """Marking of a streaming frame (key, text): its frames are streams."""
+    return mark_listed(documents, aliases, config, key)
 
 
 def candidate_stream(documents: DataFrame, aliases: list[dict], config: MatchingConfig | None = None, key: str = "doc_id") -> DataFrame:
     """Candidates of a streaming frame (key, text)."""
-    return find_candidates(documents, aliases, config or MatchingConfig(), key)
+    return marked_stream(documents, aliases, config, key).candidates
 
 
 def start_marking(
@@ -33,10 +35,8 @@ def start_marking(
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Marks every micro-batch of (key, text) and hands it to ``sink`` with its number, which is the same on a retry."""
-    config = config or MatchingConfig()
 
     def each(batch: DataFrame, number: int) -> None:
-        found = find_candidates(batch, aliases, config, key)
-        sink(Marking(batch, found, resolved(found, config, key), key), number)
+        sink(mark_listed(batch, aliases, config, key), number)
 
     return documents.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

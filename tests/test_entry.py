@@ -32,11 +32,11 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT * FROM inflect_person('Иван', 'Петров', NULL)").count() > 1
 
 
-ALIASES = [{"entity_type": "car", "entity_id": "c", "field_name": "vin", "value": "X7LHSRDVN12345678", "weight": 1.0, "profile": "vin"}]
+ALIASES = [{"entity_type": "car", "entity_id": "c", "field_name": "vin", "value": "WQ9MTRDVK20417365", "weight": 1.0, "profile": "vin"}]
 
 
 def test_stream(spark, tmp_path):
-    spark.createDataFrame([(1, "VIN X7LHSRDVN12345678"), (2, "none")], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(1, "VIN WQ9MTRDVK20417365"), (2, "none")], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
     got = []
     start_marking(source, ALIASES, lambda m, n: got.extend(m.occurrences.collect()), str(tmp_path / "ck")).awaitTermination()

@@ -8,7 +8,7 @@ from entitrail.sources.batch import parse_csv, read_batch, with_texts
 from entitrail.sources.catalog import catalog_frame, parse_catalog, read_catalog, validate
 from entitrail.sources.files import distinct_paths, write_utf8_atomic
 
-PERSON = '[{"Фамилия": "Иванов", "Имя": "Иван", "Отчество": "Иванович", "Дата рождения": "15.05.1985"}]'
+PERSON = '[{"Фамилия": "Лыков", "Имя": "Андрей", "Отчество": "Андреевич", "Дата рождения": "02.09.1977"}]'
 
 
 def quoted(x):
@@ -16,8 +16,8 @@ def quoted(x):
 
 
 def test_names_in_both_languages():
-    a = parse_catalog('{"people": [{"id": "p", "first_name": "Иван", "birth_date": "1973-01-20"}]}')
-    b = parse_catalog('{"ФизЛицо": [{"id": "p", "Имя": "Иван", "дата рождения": "20.01.1973"}]}')
+    a = parse_catalog('{"people": [{"id": "p", "first_name": "Андрей", "birth_date": "1981-06-14"}]}')
+    b = parse_catalog('{"ФизЛицо": [{"id": "p", "Имя": "Андрей", "дата рождения": "14.06.1981"}]}')
     assert a == b
 
 
@@ -25,7 +25,7 @@ def test_names_in_both_languages():
     "text",
     [
         '{"people": [{"id": 1}]}', '{"people": [{"id": " "}]}', '{"people": [{"id": "p", "x": "y"}]}', '{"other": []}', '{"people": {}}', "[]",
-        '{"people": [{"id": "p", "first_name": "a", "Имя": "b"}]}', '{"people": [{"id": "p"}, {"id": "p"}]}', '{"people": [{"id": "p", "birth_date": "1973/01/20"}]}',
+        '{"people": [{"id": "p", "first_name": "a", "Имя": "b"}]}', '{"people": [{"id": "p"}, {"id": "p"}]}', '{"people": [{"id": "p", "birth_date": "1981/06/14"}]}',
         '{"people": [{"first_name": "a"}]}', '{"cars": [{"id": "c", "vin": ""}]}', '{"people": [], "ФизЛицо": []}', "{",
     ],
 )
@@ -67,7 +67,7 @@ def test_csv_rows():
     text = f'﻿versionId,cardId,fileId,InsuranceSubjects,PartnerName,PartnerKindName,RegDate\r\nv1,7,,{quoted(PERSON)},Ромашка,ЮЛ,01.02.2026 10:00:00\r\n\r\nv2,,,,Пётр,,\r\n'
     (n1, v1, ids, one), (n2, v2, none, two) = parse_csv(text.encode())
     assert (n1, v1, ids, n2, v2, none) == (2, "v1", {"cardId": "7"}, 3, "v2", {})
-    assert one["people"][0]["last_name"] == "Иванов" and one["documents"] == [] and one["senders"][0]["organization_name"] == "Ромашка"
+    assert one["people"][0]["last_name"] == "Лыков" and one["documents"] == [] and one["senders"][0]["organization_name"] == "Ромашка"
     assert str(one["miscellaneous"][0]["incoming_letter_date"]) == "2026-02-01"
     assert two["senders"][0]["full_name"] == "Пётр" and two["miscellaneous"] == []
 
@@ -80,9 +80,9 @@ def test_large_cells_and_line_ends():
 
 def batch(tmp_path):
     (tmp_path / "txts").mkdir()
-    (tmp_path / "in.csv").write_text(f"versionId;cardId;InsuranceSubjects;InsuranceSubjectsVehicle\na;1;{quoted(PERSON)};\nb;;;{quoted('[{"VIN": "X7LHSRDVN12345678"}]')}\nc;;;\n", encoding="utf-8")
-    (tmp_path / "txts/a.txt").write_bytes("Иванов Иван\r\nX7LHSRDVN12345678".encode())
-    (tmp_path / "txts/b.txt").write_bytes("Иванов Иван\r\nX7LHSRDVN12345678".encode())
+    (tmp_path / "in.csv").write_text(f"versionId;cardId;InsuranceSubjects;InsuranceSubjectsVehicle\na;1;{quoted(PERSON)};\nb;;;{quoted('[{"VIN": "WQ9MTRDVK20417365"}]')}\nc;;;\n", encoding="utf-8")
+    (tmp_path / "txts/a.txt").write_bytes("Лыков Андрей\r\nWQ9MTRDVK20417365".encode())
+    (tmp_path / "txts/b.txt").write_bytes("Лыков Андрей\r\nWQ9MTRDVK20417365".encode())
     return str(tmp_path / "in.csv")
 
 
@@ -94,7 +94,7 @@ def test_batch(spark, tmp_path):
     assert [t["data"]["versionId"] for t in tasks] == ["a", "b"] and tasks[0]["data"]["cardId"] == "1" and tasks[0]["data"]["source_row"] == 2
     labels = [[r["value"]["labels"][0] for r in t["predictions"][0]["result"]] for t in tasks]
     assert labels == [["PERSON_LAST_NAME", "PERSON_FIRST_NAME"], ["CAR_VIN"]]
-    assert tasks[1]["predictions"][0]["result"][0]["value"]["start"] == 13
+    assert tasks[1]["predictions"][0]["result"][0]["value"]["start"] == 14
 
 
 def test_empty_text_stops_the_batch(spark, tmp_path):
@@ -106,8 +106,8 @@ def test_empty_text_stops_the_batch(spark, tmp_path):
 
 
 def test_command_line(spark, tmp_path, capsys):
-    (tmp_path / "c.json").write_text('{"cars": [{"id": "x", "vin": "X7LHSRDVN12345678"}]}', encoding="utf-8")
-    (tmp_path / "t.txt").write_text("VIN X7LHSRDVN12345678", encoding="utf-8")
+    (tmp_path / "c.json").write_text('{"cars": [{"id": "x", "vin": "WQ9MTRDVK20417365"}]}', encoding="utf-8")
+    (tmp_path / "t.txt").write_text("VIN WQ9MTRDVK20417365", encoding="utf-8")
     args = ["mark", "--objects", str(tmp_path / "c.json"), "--text", str(tmp_path / "t.txt")]
     assert main(args) == 0
     assert json.loads(capsys.readouterr().out)[0]["predictions"][0]["result"][0]["value"]["labels"] == ["CAR_VIN"]
@@ -124,3 +124,21 @@ def test_files(tmp_path):
     assert (tmp_path / "x").read_bytes() == "а\n".encode() and [p.name for p in tmp_path.iterdir()] == ["x"]
     with pytest.raises(ValueError):
         distinct_paths(["a"], ["b", "b"])
+
+
+def test_a_link_must_not_lead_out_of_the_folder(spark, tmp_path):
+    (tmp_path / "txts").mkdir()
+    (tmp_path / "secret.txt").write_text("elsewhere", encoding="utf-8")
+    (tmp_path / "txts/a.txt").write_text("within", encoding="utf-8")
+    (tmp_path / "txts/b.txt").symlink_to(tmp_path / "txts/a.txt")
+    (tmp_path / "in.csv").write_text("versionId;cardId\na;1\nb;2\n", encoding="utf-8")
+    read = lambda: sorted(r.text for r in with_texts(read_batch(spark, [str(tmp_path / "in.csv")])).collect())
+    assert read() == ["within", "within"]
+    (tmp_path / "txts/b.txt").unlink()
+    (tmp_path / "txts/b.txt").symlink_to(tmp_path / "secret.txt")
+    with pytest.raises(Exception, match="inside its folder"):
+        read()
+
+
+def test_labels_command(capsys):
+    assert main(["labels"]) == 0 and capsys.readouterr().out.count("<Label ") == 28
