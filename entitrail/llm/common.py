@@ -12,7 +12,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch that goes to Python; Spark's own bound suits short rows, not documents.
+ARROW_BATCH = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on Arrow batches to ARROW_BATCH bytes, which JVM and Python each hold some of."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m").rstrip("bB")  # Spark answers in bytes
+    if not now.isdigit() or int(now) > ARROW_BATCH:
+        spark.conf.set(key, f"{ARROW_BATCH}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,6 +40,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts lineage, computes it once, survives lost executors."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = work_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
