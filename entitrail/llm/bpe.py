@@ -1,7 +1,8 @@
 """Byte-level BPE encoding by a global shuffle of distinct words, and decoding by the token-byte table.
 
 1. Each task cuts whole texts into pre-tokens and numbers the distinct ones of a block of documents; the positions
-   are kept as the sequence of these numbers. A block ends with the document that brings ``block_words`` words.
+   are kept as the sequence of these numbers. A block ends with the document that brings ``block_words`` distinct
+   words, ``block_positions`` positions or ``block_docs`` documents.
 2. A block's distinct words are dealt by hash into buckets, packed: one row per block and bucket. In a bucket every
    distinct word is merged to ids once, and its ids go back to each block that holds it.
 3. Per block, words and positions meet again and the ids of each document are put in order.
@@ -16,11 +17,12 @@ table gives none; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import itertools
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +72,7 @@ def _offsets(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
 
 
-def blocks(docs: DataFrame, pattern: str, buckets: int, block_words: int = 280_000) -> DataFrame:
+def blocks(docs: DataFrame, pattern: str, buckets: int, block_words: int = 280_000, block_positions: int = 4_000_000, block_docs: int = 100_000) -> DataFrame:
     """Rows of _BLOCKS: a block's positions, and its distinct words by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +80,7 @@ def blocks(docs: DataFrame, pattern: str, buckets: int, block_words: int = 280_0
 
         find = regex.compile(pattern).findall
         number = itertools.count(TaskContext.get().partitionId() << 32)
-        words, ids, sequences = _Words(), [], []
+        words, ids, sequences, held = _Words(), [], [], 0
 
         def out() -> pa.RecordBatch:
             block = next(number)
@@ -98,8 +100,10 @@ def blocks(docs: DataFrame, pattern: str, buckets: int, block_words: int = 280_0
             for doc_id, text in zip(doc_ids, texts):
                 ids.append(doc_id)
                 sequences.append(np.fromiter(map(words.__getitem__, find(text)), dtype=np.uint32))
-                if len(words) >= block_words or len(ids) >= 100_000:
+                held += len(sequences[-1])
+                if len(words) >= block_words or held >= block_positions or len(ids) >= block_docs:
                     yield out()
+                    held = 0
         if ids:
             yield out()
 
@@ -137,16 +141,23 @@ def word_ids(words: DataFrame, ranks: str, pattern: str, most_words: int = 1_000
     return words.mapInArrow(run, "block long, payload binary")
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """(doc_id, ids): the ids of each text as little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, ranks: str, pattern: str, then: Callable[[pa.Table], pa.Table] | None = None, schema: str = "doc_id long, ids binary") -> DataFrame:
+    """(doc_id, ids): the ids of each text as little-endian unsigned 32-bit integers.
+
+    ``then`` maps such a table of a block's documents where it is made, giving ``schema``, so that ids need not travel.
+    """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select("doc_id", "text")
-    buckets = min(1 << 16, max(256, 2 * source.rdd.getNumPartitions()))
+    buckets = min(1 << 12, max(256, 2 * source.rdd.getNumPartitions()))  # some 70 words of a block at least
     made = _clustered(blocks(source, pattern, buckets), min(4 * parts, 50_000))
     words = made.where(f"bucket <> {_INDEX}").select("block", "bucket", "payload").repartition(parts, "bucket").sortWithinPartitions("bucket")
     index = made.where(f"bucket = {_INDEX}").select("block", "doc_ids", "counts", "payload")
-    return index.groupBy("block").cogroup(word_ids(words, ranks, pattern).groupBy("block")).applyInArrow(_reassembled, "doc_id long, ids binary")
+
+    def made_whole(index: pa.Table, ids: pa.Table) -> pa.Table:
+        return then(_reassembled(index, ids)) if then else _reassembled(index, ids)
+
+    return index.groupBy("block").cogroup(word_ids(words, ranks, pattern).groupBy("block")).applyInArrow(made_whole, schema)
 
 
 def _clustered(df: DataFrame, n: int) -> DataFrame:
@@ -178,50 +189,47 @@ def _reassembled(index: pa.Table, ids: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(out, pa.binary())})
 
 
-class TokenBytes:
-    """The token-byte table of a rank file, bounded by the vocabulary."""
+@functools.lru_cache(maxsize=1)
+def token_bytes(ranks: str) -> list[bytes]:
+    """The token-byte table of a rank file, bounded by the vocabulary; one per Python worker."""
+    found = load_ranks(ranks)
+    out = [b""] * (max(found.values()) + 1)
+    for raw, rank in found.items():
+        out[rank] = raw
+    return out
 
-    def __init__(self, ranks: str):
-        table = load_ranks(ranks)
-        self.of = [b""] * (max(table.values()) + 1)
-        for raw, rank in table.items():
-            self.of[rank] = raw
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.of.__getitem__, ids))
+def decoded(ids: list[int], ranks: str) -> bytes:
+    return b"".join(map(token_bytes(ranks).__getitem__, ids))
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     """(doc_id, content): the bytes that the ids of (doc_id, ids) stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = TokenBytes(ranks)
         for batch in batches:
-            out = [tokens.decode(np.frombuffer(x, "<u4").tolist()) for x in batch.column(1).to_pylist()]
+            out = [decoded(np.frombuffer(x, "<u4").tolist(), ranks) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "content"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, content binary")
 
 
-def digests(encoded: DataFrame, ranks: str) -> DataFrame:
-    """What the query returns of (doc_id, ids), decoding the ids on the way."""
+def digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """What the query returns: the ids of each text, decoded again, as digests."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = TokenBytes(ranks)
-        for batch in batches:
-            sizes, ids_sha, decoded_sha = [], [], []
-            for x in batch.column(1).to_pylist():
-                ids = np.frombuffer(x, "<u4").tolist()
-                sizes.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                decoded_sha.append(hashlib.sha256(tokens.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def digest(rows: pa.Table) -> pa.Table:
+        sizes, ids_sha, decoded_sha = [], [], []
+        for x in rows.column("ids"):  # one at a time, as texts may be long
+            ids = np.frombuffer(x.as_buffer(), "<u4").tolist()
+            sizes.append(len(ids))
+            ids_sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+            decoded_sha.append(hashlib.sha256(decoded(ids, ranks)).hexdigest())
+        return pa.table({"doc_id": rows.column("doc_id"), "n_tokens": pa.array(sizes, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(decoded_sha, pa.string())})
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode(docs, ranks, pattern, digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return digests(encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

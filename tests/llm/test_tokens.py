@@ -76,7 +76,7 @@ def bpe_of(texts):
 
 def check_bpe(docs, expected):
     ranks = P.path("byte_bpe_multi_50k.tiktoken")
-    got = bpe.digests(bpe.encode(docs, ranks, P.PATTERN), ranks).collect()
+    got = bpe.digests(docs, ranks, P.PATTERN).collect()
     want = [(i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for (i, t), ids in zip(expected, bpe_of([t for _, t in expected]))]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
@@ -97,6 +97,9 @@ def test_bpe_decodes(spark):
 def test_bpe_many_small_blocks(spark):
     blocks = bpe.blocks(cases.frame(spark), P.PATTERN, 4, block_words=5)
     assert blocks.where("bucket = -1").count() >= 5
+    few = spark.createDataFrame([(i, "same words again " * 100) for i in range(20)], "doc_id long, text string").coalesce(1)
+    sizes = [len(r.doc_ids) for r in bpe.blocks(few, P.PATTERN, 4, block_positions=650).where("bucket = -1").collect()]
+    assert sum(sizes) == 20 and max(sizes) == 3  # a block ends by positions, however few its words are
 
 
 @settings(max_examples=100, deadline=None)
@@ -207,3 +210,19 @@ def test_level_minimises_the_sum_of_squares():
 
         options = [h for h in range(12 - size + 1) if h == 0 or packer.count[h]]
         assert after(packer.level(size)) == min(map(after, options))
+
+
+def test_settling_early_changes_the_layout_alone():
+    """``open_ids`` bounds memory: with any of it, ids lie in one piece each and nothing is padded."""
+    sizes = np.random.default_rng(1).integers(1, 40, 500).tolist()
+    layouts = []
+    for open_ids in (20, 200, 4_000_000):
+        out = []
+        packer = packing.Packer(16, lambda n, pieces: out.append(pieces), open_ids)
+        for i, n in enumerate(sizes):
+            packer.add(i, np.full(n, i, dtype="<u4").tobytes())
+        packer.settle(True)
+        assert sum(len(x[2]) // 4 for pieces in out for x in pieces) == sum(sizes)
+        assert all(n == 16 or n & (n - 1) == 0 for n in (sum(len(x[2]) // 4 for x in pieces) for pieces in out))
+        layouts.append(len(out))
+    assert max(layouts) - min(layouts) <= 5
