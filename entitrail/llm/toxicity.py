@@ -16,9 +16,9 @@ and bias come from models of folds 0 and 1 alone, on at most ``sample`` rows of
 as the square roots of their sizes, as a missed row is worse than a false alarm where toxic rows are rare. Where fold 3
 lacks a class, the slope is 1 and the bias the odds of the classes. N-grams are exact
 strings, summed in 64 bits, and their tables grow with the corpus; models are made of them by DataFrame operations. A
-model goes to the tasks with at most ``most_grams`` entries: if there are more, n-grams of three letters and more whose
-count is below a threshold, the least power of two that suffices, fall back to shorter ones (count cut-offs, as is usual
-for such models; probabilities still sum to one). No label or source is a key anywhere.
+model of at most ``most_grams`` entries goes to every task. A larger one stays a table, whole: rows are dealt into blocks
+of some megabytes, the distinct n-grams of a block's words are joined with it, and a block meets its own part of the
+model, which gives the same scores. A frequent n-gram is one row per block. No label or source is a key anywhere.
 
 Defined cases: a null or empty text, or one without words, has evidence 0; a run of more than LONGEST characters without
 a blank is read as several words; rows without a label, or with a null one, are not learned from; ids with several
@@ -28,15 +28,19 @@ repeat, each row gives a row; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import string
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from .bpe import _clustered
 from .common import column_slices, held_out, spread, table, text_slices, written
 
 ORDER = 5
@@ -50,6 +54,8 @@ _EDGES = string.punctuation + "…“”„«»‘’¡¿"
 LONGEST = 1000
 #: Labels up to this count are sent to the tasks (8 bytes an id); more meet the texts in a shuffle by id.
 FEW_LABELS = 1_000_000
+#: A model of up to this many n-grams is sent to the tasks; a larger one is joined.
+MOST_GRAMS = 4_000_000
 _COUNTS = "c0 long, c1 long, c2 long, c3 long"
 
 
@@ -235,31 +241,103 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 
 class Scorer:
-    """The models, and the slope and bias that turn a text's evidence into a score."""
+    """The models (or the written table of larger ones), and the slope and bias that turn a text's evidence into a score."""
 
-    def __init__(self, models: Models, slope: float, bias: float):
+    def __init__(self, models: Models | DataFrame, slope: float, bias: float):
         self.models, self.slope, self.bias = models, max(slope, 0.0), bias
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        z = self.slope * self.models.evidence([x or "" for x in texts]) + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+        return self.curve()(self.models.evidence([x or "" for x in texts]))
+
+    def curve(self) -> Callable[[np.ndarray], np.ndarray]:
+        """Evidence to scores, without the models."""
+        slope, bias = self.slope, self.bias
+        return lambda evidence: 1 / (1 + np.exp(-np.clip(slope * evidence + bias, -700, 700)))
 
 
 def _fold() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
 
 
-def _models(grams: DataFrame, every_fold: bool, most_grams: int) -> Models:
-    """The models of ``grams``, a written table."""
-    least, n = 1, grams.count()
-    while n > most_grams:
-        least *= 2
-        n = grams.where((F.col("c0") + F.col("c1") + F.col("c2") + F.col("c3") >= least) | (F.length("g") <= SHARED)).count()
-    rows = written(model_rows(grams, every_fold, least=least), "toxic-model").toArrow()
+def _loaded(rows: pa.Table) -> Models:
     return Models(rows.column("g").to_pylist(), np.stack([rows.column(c).to_numpy() for c in ("s0", "s1", "b0", "b1")], axis=1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_grams: int = 4_000_000) -> Scorer | None:
+def _models(grams: DataFrame, every_fold: bool, most_grams: int) -> Models | DataFrame:
+    """The models of ``grams``, a written table; of more than ``most_grams``, their written table."""
+    rows = written(model_rows(grams, every_fold), "toxic-model")
+    return _loaded(rows.toArrow()) if grams.count() <= most_grams else rows
+
+
+def blocks(rows: DataFrame, at: int, block_bytes: int = 16 << 20, block_words: int = 200_000) -> DataFrame:
+    """``rows`` with their ``block``, and for each block rows of ``grams``, what the model may be asked for its texts, column ``at``.
+
+    A block ends with the slice that brings ``block_bytes`` of text or ``block_words`` distinct words. Names must not clash.
+    """
+    schema = StructType([StructField("block", LongType()), StructField("grams", ArrayType(StringType())), *(StructField(f.name, f.dataType) for f in rows.schema)])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = itertools.count(TaskContext.get().partitionId() << 32)
+        block, held, met, types = next(number), 0, set(), None
+
+        def asked() -> Iterator[pa.RecordBatch]:
+            grams = list({*gram_counts_of([Counter(dict.fromkeys(met, 1))])[0], START, ""})
+            for first in range(0, len(grams), 50_000):
+                lists = pa.array([grams[first : first + 50_000]], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), lists, *(pa.nulls(1, t) for t in types)], names=names)
+
+        for part in column_slices(batches, at):
+            if not part.num_rows:
+                continue
+            types = part.schema.types
+            yield pa.RecordBatch.from_arrays([pa.array([block] * part.num_rows, pa.int64()), pa.nulls(part.num_rows, pa.list_(pa.string())), *part.columns], names=names)
+            for text in part.column(at).to_pylist():
+                met.update(words(text or ""))
+            held += part.column(at).nbytes
+            if held >= block_bytes or len(met) >= block_words:
+                yield from asked()
+                block, held, met = next(number), 0, set()
+        if held:
+            yield from asked()
+
+    return rows.mapInArrow(run, schema)
+
+
+def in_blocks(docs: DataFrame, model: DataFrame, then: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema: StructType | str, **bounds: int) -> DataFrame:
+    """Rows of ``schema`` that ``then`` makes of parts of ``docs`` (text, others) and their evidence by ``model``, a written table."""
+    at, columns = docs.columns.index("text"), docs.columns
+    own = [f"c{i}" for i in range(len(columns))]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = _clustered(blocks(docs.toDF(*own), at, **bounds), min(4 * parts, 50_000))
+    asked = made.where("grams is not null").selectExpr("block asked_by", "explode(grams) g")
+    found = asked.join(model.select("g", *(F.col(c).cast("float") for c in ("s0", "s1", "b0", "b1"))).hint("merge"), "g")
+
+    def run(rows: pa.Table, grams: pa.Table) -> pa.Table:
+        models, out = _loaded(grams), []
+        for part in column_slices(rows.select(own).rename_columns(columns).to_batches(), at):
+            out.append(then(part, models.evidence([x or "" for x in part.column(at).to_pylist()])))
+        return pa.Table.from_batches(out)
+
+    return made.where("grams is null").select("block", *own).groupBy("block").cogroup(found.groupBy("asked_by")).applyInArrow(run, schema)
+
+
+def _told(docs: DataFrame, models: Models | DataFrame | None, then: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema: StructType | str) -> tuple[DataFrame, Broadcast | None]:
+    """Rows of ``schema`` that ``then`` makes of parts of ``docs`` (text, others) and their evidence, 0 without models; and what was sent for it."""
+    if isinstance(models, DataFrame):
+        return in_blocks(docs, models, then, schema), None
+    shared = docs.sparkSession.sparkContext.broadcast(models)  # at most most_grams entries
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in column_slices(batches, at):
+            texts = [x or "" for x in part.column(at).to_pylist()]
+            yield then(part, shared.value.evidence(texts) if shared.value else np.zeros(len(texts)))
+
+    return docs.mapInArrow(run, schema), shared
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_grams: int = MOST_GRAMS) -> Scorer | None:
     """From (doc_id, text) and (doc_id, toxic); slope and bias take ``sample`` labelled ids of fold 3 of each class, least hashes first."""
     spark = docs.sparkSession
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
@@ -272,18 +350,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_grams: in
     seen = grams.agg(*(F.max(f"c{i}").alias(f"c{i}") for i in range(4))).head()
     if not (seen.c0 and seen.c1):
         return None
-    shared = spark.sparkContext.broadcast(_models(grams, False, most_grams))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in column_slices(batches):
-            found = shared.value.evidence([x or "" for x in part.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found)], names=["doc_id", "toxic", "e"])
+    def then(part: pa.RecordBatch, evidence: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(evidence)], names=["doc_id", "toxic", "e"])
 
     chosen = [marks.where((_fold() == 3) & (F.col("toxic") == c)).join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id")).limit(sample) for c in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))
-    rows = docs.join(chosen, "doc_id").select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, e double")
+    rows, shared = _told(docs.join(chosen, "doc_id").select("doc_id", "text", "toxic"), _models(grams, False, most_grams), then, "doc_id long, toxic int, e double")
     found = rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("e").alias("e")).collect()  # ids may repeat
-    shared.destroy()
+    if shared:
+        shared.destroy()
     x, y = np.array([r.e for r in found]), np.array([r.toxic for r in found], dtype=float)
     if seen.c2 and seen.c3 and len(y) and y.min() < y.max():
         each = [size.get((True, c), 0) ** 0.5 / max(1, (y == c).sum()) for c in (0, 1)]
@@ -297,15 +373,20 @@ def _scores(scorer: Scorer | None, texts: list[str | None]) -> np.ndarray:
     return scorer.score(texts) if scorer else np.zeros(len(texts))
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def _curve(scorer: Scorer | None) -> Callable[[np.ndarray], np.ndarray]:
+    return scorer.curve() if scorer else np.zeros_like
+
+
+def scored(docs: DataFrame, labels: DataFrame, most_grams: int = MOST_GRAMS) -> DataFrame:
     """(doc_id, score): the toxicity of each row of (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # at most most_grams entries
+    scorer = fit(docs, labels, most_grams=most_grams)
+    curve = _curve(scorer)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in column_slices(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_scores(shared.value, part.column(1).to_pylist()))], names=["doc_id", "score"])
+    def then(part: pa.RecordBatch, evidence: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(curve(evidence))], names=["doc_id", "score"])
 
-    return spread(docs.selectExpr("cast(doc_id as long) doc_id", "text")).mapInArrow(run, "doc_id long, score double")
+    rows = spread(docs.selectExpr("cast(doc_id as long) doc_id", "text"))
+    return _told(rows, scorer and scorer.models, then, "doc_id long, score double")[0]
 
 
 def kept_rows(docs: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:

@@ -212,6 +212,24 @@ def test_the_regression_samples_each_class(spark):
     assert isinstance(found, toxicity.Scorer) and found.slope != 1.0
 
 
+def test_a_large_model_gives_the_scores_of_the_whole_model(spark):
+    docs, labels = _folds(spark, (0, 1, 3))
+    whole = {r.doc_id: r.score for r in toxicity.scored(docs, labels).collect()}
+    joined = {r.doc_id: r.score for r in toxicity.scored(docs, labels, most_grams=50).collect()}
+    assert whole.keys() == joined.keys() and all(abs(whole[i] - s) < 1e-6 for i, s in joined.items())
+
+
+def test_blocks_meet_all_of_their_ngrams(spark):
+    rows, models = models_of(spark, WORDS)
+    frame = spark.createDataFrame(rows.to_pylist(), "g string, s0 double, s1 double, b0 double, b1 double")
+    docs = cases.frame(spark).unionByName(spark.createDataFrame([(50 + i, w + "! abba xbad") for i, w in enumerate(("badly", "cab", "zzz"))], "doc_id long, text string"), True)
+    then = lambda part, e: toxicity.pa.RecordBatch.from_arrays([part.column("doc_id"), toxicity.pa.array(e)], names=["doc_id", "e"])
+    plain = sorted((str(r.doc_id), round(models.evidence([r.text or ""])[0], 4)) for r in docs.collect())
+    for bounds in ({}, {"block_words": 1}):
+        found = toxicity.in_blocks(docs, frame, then, "doc_id long, e double", **bounds).collect()
+        assert sorted((str(r.doc_id), round(r.e, 4)) for r in found) == plain
+
+
 def test_lettered_rows_stay_when_nothing_could_be_learned(spark):
     docs = spark.createDataFrame([(0, "some words", None), (1, "12 34", None), (2, None, None)], "doc_id long, text string, lang string")
     assert [r.doc_id for r in langid.kept_rows(docs, langid.fit(docs, F.lit(True))).collect()] == [0]
