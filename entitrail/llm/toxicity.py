@@ -369,10 +369,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_grams: in
     return Scorer(_models(grams, True, most_grams), slope, bias)
 
 
-def _scores(scorer: Scorer | None, texts: list[str | None]) -> np.ndarray:
-    return scorer.score(texts) if scorer else np.zeros(len(texts))
-
-
 def _curve(scorer: Scorer | None) -> Callable[[np.ndarray], np.ndarray]:
     return scorer.curve() if scorer else np.zeros_like
 
@@ -389,16 +385,15 @@ def scored(docs: DataFrame, labels: DataFrame, most_grams: int = MOST_GRAMS) ->
     return _told(rows, scorer and scorer.models, then, "doc_id long, score double")[0]
 
 
-def kept_rows(docs: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """All columns of the rows that score below ``threshold``, decided where they are read."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    at = docs.columns.index("text")
+def kept_rows(docs: DataFrame, labels: DataFrame, threshold: float, most_grams: int = MOST_GRAMS) -> DataFrame:
+    """All columns of the rows that score below ``threshold``, decided where they are read or in their block."""
+    scorer = fit(docs, labels, most_grams=most_grams)
+    curve = _curve(scorer)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in column_slices(batches, at):
-            yield part.filter(pa.array(_scores(shared.value, part.column(at).to_pylist()) < threshold))
+    def then(part: pa.RecordBatch, evidence: np.ndarray) -> pa.RecordBatch:
+        return part.filter(pa.array(curve(evidence) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return _told(docs, scorer and scorer.models, then, docs.schema)[0]
 
 
 #: Scores from here on are toxic.

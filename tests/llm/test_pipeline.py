@@ -39,6 +39,17 @@ def test_stages(spark):
     check_packed(stages["packing"](spark, few, d).collect(), [(r.doc_id, r.text) for r in few.collect()])
 
 
+def test_toxicity_keeps_the_same_rows_by_a_large_model(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    odd = cases.frame(spark)
+    some = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    for rows, marks in ((docs, labels), (odd, some), (cases.empty(spark), some)):
+        whole, joined = (toxicity.kept_rows(rows, marks, toxicity.THRESHOLD, **options) for options in ({}, {"most_grams": 50}))
+        assert joined.schema.simpleString() == rows.schema.simpleString()
+        assert sorted(map(str, joined.collect())) == sorted(map(str, whole.collect()))
+
+
 def test_edges(spark, tmp_path):
     docs = cases.frame(spark)
     spark.createDataFrame([(1, 0, 1), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
