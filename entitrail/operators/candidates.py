@@ -16,12 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import MatchingConfig, allowed_distance
 from ..functions.normalize import Normalized, normalize
 from ..functions.search import fuzzy_spans, pieces
 from .boundaries import acceptable, bounded
-from .document import resolve
+from .document import near, resolve
+from .resolve import DUPLICATE
 
 METHODS = ("exact", "normalized", "bitap")
 #: Characters that evidence does not reach across.
@@ -202,6 +204,38 @@ def mark_texts(documents: DataFrame, passes: list[Broadcast], config: MatchingCo
     return documents
 
 
+#: Pairs that are put out at a time.
+_PART_PAIRS = 20_000
+
+
+def evidence_pairs(marked: DataFrame, config: MatchingConfig, key: str) -> DataFrame:
+    """(key, start, end, other_start, other_end, other_field): each mention with every one that is evidence for it. A row's mentions meet within it."""
+    columns = ["start", "end", "field_name", "entity_type", "entity_id", "barriers_before", "barriers_within"]
+    unique = F.filter("mentions", lambda m: ~m["reason"].eqNullSafe(DUPLICATE))
+    rows = marked.select(key, F.transform(unique, lambda m: F.struct(*(m[c].alias(c) for c in columns))).alias("m")).where("size(m) > 1")
+    names = [key, "start", "end", "other_start", "other_end", "other_field"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+
+            def put() -> pa.RecordBatch:
+                of, *rest = zip(*out)
+                arrays = [pa.array(x, t) for x, t in zip(rest, [*[pa.int32()] * 4, pa.string()])]
+                out.clear()
+                return pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(of)), *arrays], names=names)
+
+            for i, mentions in enumerate(batch.column("m")):
+                for pair in near(mentions.as_py(), config):
+                    out += ((i, a["start"], a["end"], b["start"], b["end"], b["field_name"]) for a, b in (pair, pair[::-1]))
+                    if len(out) >= _PART_PAIRS:
+                        yield put()
+            if out:
+                yield put()
+
+    return rows.mapInArrow(run, f"`{key}` {marked.schema[key].dataType.simpleString()}, `start` int, `end` int, other_start int, other_end int, other_field string")
+
+
 def mark_rows(documents: DataFrame, config: MatchingConfig) -> DataFrame:
     """Where each document brings its own catalog: (..., text, aliases), see ``alias_arrays``. No shuffle."""
 

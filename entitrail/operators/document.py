@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
+from collections.abc import Iterator
 
 from ..config import MatchingConfig
 from .resolve import AMBIGUOUS, COMPOSITES, DUPLICATE, NAME_PARTS, OVERLAP, WEAK
@@ -22,29 +23,31 @@ def _by_strength(c: dict) -> tuple:
     return c["method"], -c["combined"], c["edit_distance"], c["start"] - c["end"], c["start"], c["end"], c["entity_type"], c["entity_id"], c["field_name"], c["place"]
 
 
-def _support(unique: list[dict], config: MatchingConfig) -> None:
-    """``support`` of each mention: the best neighbour of each other field of its entity, with no barrier between."""
+def near(unique: list[dict], config: MatchingConfig) -> Iterator[tuple[dict, dict]]:
+    """The pairs of mentions of different fields of an entity that are near each other, with no barrier between; the left one first."""
     entities = defaultdict(list)
     for c in unique:
         entities[c["entity_type"], c["entity_id"]].append(c)
     for own in entities.values():
-        best: dict[int, dict[str, dict]] = defaultdict(dict)
         own.sort(key=lambda c: c["start"])
         starts = [c["start"] for c in own]
-
-        def meet(a: dict, b: dict) -> None:
-            now = best[a["place"]].get(b["field_name"])
-            if now is None or b["place"] < now["place"]:
-                best[a["place"]][b["field_name"]] = b
-
         for left in own:
             clear = left["barriers_before"] + left["barriers_within"]
             for right in own[bisect_left(starts, left["end"]) : bisect_right(starts, left["end"] + config.evidence_window)]:
                 if right["field_name"] != left["field_name"] and right["barriers_before"] == clear:
-                    meet(left, right)
-                    meet(right, left)
-        for c in own:
-            c["support"] = sorted(best[c["place"]].values(), key=lambda x: x["place"])
+                    yield left, right
+
+
+def _support(unique: list[dict], config: MatchingConfig) -> None:
+    """``support`` of each mention: the best neighbour of each other field of its entity, with no barrier between."""
+    best: dict[int, dict[str, dict]] = defaultdict(dict)
+    for pair in near(unique, config):
+        for a, b in (pair, pair[::-1]):
+            now = best[a["place"]].get(b["field_name"])
+            if now is None or b["place"] < now["place"]:
+                best[a["place"]][b["field_name"]] = b
+    for c in unique:
+        c["support"] = sorted(best[c["place"]].values(), key=lambda x: x["place"]) if c["place"] in best else []
 
 
 def _judge(unique: list[dict], config: MatchingConfig) -> None:
@@ -102,7 +105,7 @@ def resolve(candidates: list[dict], config: MatchingConfig) -> list[dict]:
         else:
             seen.add(span)
             unique.append(c)
-    _support([*unique], config)
+    _support(unique, config)
     for c in unique:
         bonus = 0.0 if c["field_name"] in COMPOSITES else config.evidence_bonus * max((s["score"] for s in c["support"]), default=0.0)
         c["combined"] = min(1.0, c["score"] + bonus)

@@ -47,8 +47,9 @@ def neighbours(unique: DataFrame, config: MatchingConfig, key: str = "doc_id") -
     pairs = left.join(right.withColumnsRenamed({c: f"_{c}" for c in on}), [F.col(key).eqNullSafe(F.col("_key")), *(F.col(c) == F.col(f"_{c}") for c in on)])
     gap = F.col("r.start") - F.col("l.end")
     clear = F.col("l.barriers_before") + F.col("l.barriers_within") == F.col("r.barriers_before")
-    pairs = pairs.where((gap >= 0) & (gap <= config.evidence_window) & clear & (F.col("l.field_name") != F.col("r.field_name"))).select(key, "l", "r")
-    return pairs.selectExpr(key, "l.place place", "r other").unionByName(pairs.selectExpr(key, "r.place place", "l other"))
+    pairs = pairs.where((gap >= 0) & (gap <= config.evidence_window) & clear & (F.col("l.field_name") != F.col("r.field_name")))
+    both = F.array(F.struct(F.col("l.place").alias("place"), F.col("r").alias("other")), F.struct(F.col("r.place").alias("place"), F.col("l").alias("other")))
+    return pairs.select(key, F.inline(both))  # each pair is found once
 
 
 def _joined(rows: DataFrame, more: DataFrame, key: str) -> DataFrame:

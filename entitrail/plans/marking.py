@@ -58,6 +58,10 @@ class Marking:
     def rejected(self) -> DataFrame:
         return self.mentions.where("reject_ord is not null").select(self.key, "reject_ord", "entity_type", "entity_id", "field_name", "value", "weight", "profile", "start", "end", "matched_text", "score", "method", "edit_distance", "reason")
 
+    def pairs(self, config: MatchingConfig | None = None) -> DataFrame:
+        """Each mention with every one that is evidence for it."""
+        return matching.evidence_pairs(self.marked, config or MatchingConfig(), self.key)
+
     def predictions(self, **options: str) -> DataFrame:
         return export.tasks(self.marked, self.key, **options)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import MatchingConfig
 from ..operators.aliases import generate_aliases
-from ..operators.resolve import DUPLICATE, neighbours
+from ..operators.resolve import DUPLICATE
 from ..schema import ALIAS, CATALOG, field
 from ..sources.catalog import validate
 from .marking import Marking, mark, mark_aliases
@@ -81,9 +81,7 @@ def evidence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unique = _marking(spark, sf_dir).unique
-    pairs = neighbours(unique, LITERAL).join(unique.select("doc_id", "place", "start", "end"), ["doc_id", "place"])
-    return pairs.select("doc_id", "start", "end", F.col("other.start").alias("other_start"), F.col("other.end").alias("other_end"), F.col("other.field_name").alias("other_field"))
+    return _marking(spark, sf_dir).pairs(LITERAL)
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:

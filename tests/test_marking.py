@@ -226,3 +226,19 @@ def test_date_word_is_no_part_of_a_date():
     assert bounded("14.06.1981г", 0, 10, "date", "birth_date")
     assert not bounded("14.06.1981г", 0, 11, "date", "birth_date")
     assert not bounded("14.06.1981гх", 0, 10, "date", "birth_date")
+
+
+def test_pairs_meet_in_their_row(spark):
+    from entitrail.operators.resolve import neighbours
+
+    catalog = {"people": [{"id": "a", "first_name": "Андрей", "last_name": "Лыков", "birth_date": "1981-06-14"}]}
+    texts = ["Лыков Андрей, Андрей Лыков", "Лыков. Андрей", "Лыков", None, "Андрей 14.06.1981 Лыков " * 40]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string")
+    m = mark(docs, catalog_frame(spark, [("c", checked(catalog))]))
+    found = neighbours(m.unique, MatchingConfig()).alias("n").join(m.unique.alias("u"), [c for c in ("place",)]).where("n.doc_id <=> u.doc_id")
+    expected = found.selectExpr("n.doc_id", "u.start", "u.end", "other.start", "other.end", "other.field_name").collect()
+    pairs = m.pairs()
+    assert sorted(map(str, map(tuple, pairs.collect()))) == sorted(map(str, map(tuple, expected))) and len(expected) > 400
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Exchange" not in plan and "Join" not in plan
+    assert neighbours(m.unique, MatchingConfig())._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
