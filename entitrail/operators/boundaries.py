@@ -48,7 +48,7 @@ def acceptable(n: Normalized, a: int, b: int, profile: str, field_name: str, ali
     start, end = n.span(a, b)
     if not bounded(n.original, start, end, profile, field_name):
         return False
-    if b - a > 1 and int((n.start[a + 1 : b] - n.end[a : b - 1]).max()) > max_gap:
+    if n.ranges is not None and b - a > 1 and int((n.start[a + 1 : b] - n.end[a : b - 1]).max()) > max_gap:
         return False
     value = n.value[a:b]
     if not value or "\n" in value or "\r" in value:

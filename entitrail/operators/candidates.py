@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MatchingConfig, allowed_distance
-from ..functions.normalize import Normalized, normalize
+from ..functions.normalize import Normalized, Source, codes, normalize
 from ..functions.search import fuzzy_spans, pieces
 from .boundaries import acceptable, bounded
 from .document import near, resolve
@@ -28,6 +28,7 @@ from .resolve import DUPLICATE
 METHODS = ("exact", "normalized", "bitap")
 #: Characters that evidence does not reach across.
 BARRIERS = ".!?;\n\r"
+_IS_BARRIER = np.isin(np.arange(128), codes(BARRIERS))
 
 _CANDIDATE = [
     ("alias_ord", pa.int32()), ("entity_type", pa.string()), ("entity_id", pa.string()), ("field_name", pa.string()), ("value", pa.string()),
@@ -81,12 +82,13 @@ class Matcher:
 
     def candidates(self, text: str) -> list[tuple]:
         """(alias, alias's order, start, end, score, method's number, distance), exact ones of an alias first."""
+        source = Source(text)
         written = self.written.places(text)
         hit = {i for s in written for i in self.of_written[s]} | set(self.always)
         forms: dict[str, Normalized] = {}
         places: dict[str, dict[str, list[int]]] = {}
         for profile, patterns in self.by_profile.items():
-            forms[profile] = normalize(text, profile)
+            forms[profile] = normalize(text, profile, source)
             places[profile] = patterns.places(forms[profile].value)
             hit |= {i for s in places[profile] for i in self.of_formed[profile][s]}
         fuzzy: dict[tuple[str, str, int], list[tuple[int, int, int]]] = {}
@@ -143,7 +145,7 @@ def _rows(matcher: Matcher, text: str) -> list[dict]:
     found = matcher.candidates(text)
     if not found:
         return []
-    barriers = np.array([i for i, c in enumerate(text) if c in BARRIERS], dtype=np.int64)
+    barriers = np.flatnonzero(_IS_BARRIER[np.minimum(codes(text), 127)])
     before = np.searchsorted(barriers, [x[2] for x in found]).tolist()
     within = np.searchsorted(barriers, [x[3] for x in found]).tolist()
     names = [name for name, _ in _CANDIDATE]
