@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from ..functions.normalize import Normalized
+import numpy as np
+
+from ..functions.normalize import ALNUM, SPACE, WORD, Normalized, Source, classes, codes
 
 # Fixed value: the words for "year" and "of birth" that may follow a date at once.
 _YEAR_WORD = r"г(?:од(?:а|у|ом)?)?\.?(?:[ \t]*р(?:ождения)?\.?)?(?!\w)"
@@ -41,6 +43,25 @@ def bounded(text: str, a: int, b: int, profile: str, field_name: str) -> bool:
     return True
 
 
+def sides(n: Normalized, source: Source, profile: str) -> tuple[bytes, bytes]:
+    """For each place in the normalized text whether an acceptable span may begin there, and whether one may end there.
+
+    What is ruled out here is not acceptable; what is left still has to be asked about.
+    """
+    word = np.zeros(len(source.text) + 2, dtype=bool)  # with a place before the text and one after it
+    word[1:-1] = classes(source.codes) & WORD
+    kinds = classes(codes(n.value))
+    solid = (kinds & ALNUM > 0) if profile not in ("text", "email", "reference") else (kinds & SPACE == 0)
+    begins, ends = np.zeros(len(n.value) + 1, dtype=bool), np.zeros(len(n.value) + 1, dtype=bool)
+    begins[:-1] = solid & ~word[n.start]
+    ends[1:] = True if profile == "date" else ~word[n.end + 1]
+    if n.ranges is not None:
+        cut = (n.start[1:] == n.start[:-1]) & (n.end[1:] == n.end[:-1])
+        begins[1:-1] &= ~cut
+        ends[1:-1] &= ~cut
+    return begins.tobytes(), ends.tobytes()
+
+
 def acceptable(n: Normalized, a: int, b: int, profile: str, field_name: str, alias: str, max_gap: int) -> bool:
     """Whether the normalized span n.value[a:b] may stand for ``alias``: whole characters, bounds, gaps and content."""
     if not n.whole(a, b):

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ..config import MatchingConfig, allowed_distance
 from ..functions.normalize import Normalized, Source, codes, normalize
-from ..functions.search import fuzzy_spans, pieces
-from .boundaries import acceptable, bounded
+from ..functions.search import pieces, spans_from
+from .boundaries import acceptable, bounded, sides
 from .document import near, resolve
 from .resolve import DUPLICATE
 
@@ -53,9 +53,9 @@ class _Patterns:
     def places(self, text: str) -> dict[str, list[int]]:
         found: dict[str, list[int]] = defaultdict(list)
         if self.strings:
-            for end, s in self.automaton.iter(text):
-                found[s].append(end + 1 - len(s))
-        return found
+            for last, s in self.automaton.iter(text):
+                found[s].append(last)
+        return {s: [last + 1 - len(s) for last in ends] for s, ends in found.items()}
 
 
 class Matcher:
@@ -78,6 +78,7 @@ class Matcher:
                     self.always.append(i)
         self.written, self.of_written = _Patterns(set(written)), written
         self.by_profile = {p: _Patterns(set(s)) for p, s in formed.items()}
+        self.known: dict = {}
         self.of_formed = {p: dict(s) for p, s in formed.items()}
 
     def candidates(self, text: str) -> list[tuple]:
@@ -92,6 +93,7 @@ class Matcher:
             places[profile] = patterns.places(forms[profile].value)
             hit |= {i for s in places[profile] for i in self.of_formed[profile][s]}
         fuzzy: dict[tuple[str, str, int], list[tuple[int, int, int]]] = {}
+        open_at: dict[str, tuple[bytes, bytes]] = {}
         out = []
         for i in sorted(hit):
             order, a, pattern, budget = self.aliases[i]
@@ -114,8 +116,11 @@ class Matcher:
                 continue
             key = (profile, pattern, budget)
             if key not in fuzzy:
-                hits = [(p, place) for place, part in pieces(pattern, budget) for p in at.get(part, ())] if len(pattern) > budget else None
-                fuzzy[key] = [x for x in fuzzy_spans(n.value, pattern, budget, hits) if x[2]] if hits is None or hits else []
+                if profile not in open_at:
+                    open_at[profile] = sides(n, source, profile)
+                begins, ends = open_at[profile]
+                starts = self._starts(n.value, pattern, budget, at, begins)
+                fuzzy[key] = [x for x in spans_from(n.value, starts, pattern, budget, self.known) if x[2] and ends[x[1]]]
             known = _Spans(explained) if fuzzy[key] else None
             for start, end, distance in fuzzy[key]:
                 if acceptable(n, start, end, profile, name, value, self.config.max_separator_gap):
@@ -126,6 +131,18 @@ class Matcher:
         return out
 
 
+    def _starts(self, value: str, pattern: str, k: int, at: dict[str, list[int]], begins: bytes) -> list[int]:
+        """Where a span may begin that is within ``k`` edits of the pattern: near one of its parts, if these are of use."""
+        if len(pattern) <= k:
+            return [s for s in range(len(value)) if begins[s]]
+        hits = [(np.array(at[part]), place) for place, part in pieces(pattern, k) if part in at]
+        near = np.zeros(len(pattern) + k + len(value) + 2 * k + 1, dtype=bool)  # by how far a span would begin from -len(pattern) - k
+        for places, place in hits:
+            for shift in range(-k, k + 1):
+                near[places + (len(pattern) + k - place + shift)] = True
+        return np.flatnonzero(near[len(pattern) + k :][: len(value)] & np.frombuffer(begins, dtype=bool)[:-1]).tolist() if hits else []
+
+
 class _Spans:
     """Whether a span overlaps one of a set."""
 

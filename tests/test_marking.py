@@ -242,3 +242,24 @@ def test_pairs_meet_in_their_row(spark):
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 2 and "Exchange" not in plan and "Join" not in plan
     assert neighbours(m.unique, MatchingConfig())._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+
+
+def test_distances_are_taken_where_words_begin_and_once_for_a_stretch(monkeypatch):
+    from entitrail.functions import search
+    from entitrail.operators.boundaries import acceptable
+    from entitrail.operators.candidates import Matcher
+    from entitrail.functions.normalize import normalize
+
+    aliases = [{"entity_type": t, "entity_id": "e", "field_name": f, "value": v, "weight": 0.5, "profile": p} for t, f, v, p in (("person", "last_name", "Thin", "name"), ("person", "birth_date", "14.06.1981", "date"), ("legal_entity", "name", "Straße 5", "text"))]
+    matcher = Matcher(aliases, MatchingConfig(max_errors=2))
+    text = "thing within Tin thine t hin, т thiń 14.O6.1981г. 14.06.198 strase 5 \t STRASSE  6 antithin hin " * 20
+    found = {(a["value"], *span, distance) for a, _, *span, _, method, distance in matcher.candidates(text) if method == 2}
+    for _, a, pattern, k in matcher.aliases:
+        n, own = normalize(text, a["profile"]), [x for x in matcher.candidates(text) if x[0] is a and x[5] < 2]
+        spans = [(*n.span(s, e), d) for s, e, d in search.fuzzy_spans(n.value, pattern, k) if d and acceptable(n, s, e, a["profile"], a["field_name"], a["value"], 4)]
+        assert {x[1:] for x in found if x[0] == a["value"]} == {x for x in spans if not any(x[0] < o[3] and o[2] < x[1] for o in own)}
+    assert len(found) > 100
+    asked = []
+    monkeypatch.setattr(search, "prefix_distances", lambda *x, plain=search.prefix_distances: asked.append(x) or plain(*x))
+    Matcher(aliases, MatchingConfig()).candidates(text)
+    assert 0 < len(asked) < 100  # each hit was asked about three times, here some thousand
