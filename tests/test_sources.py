@@ -142,3 +142,33 @@ def test_a_link_must_not_lead_out_of_the_folder(spark, tmp_path):
 
 def test_labels_command(capsys):
     assert main(["labels"]) == 0 and capsys.readouterr().out.count("<Label ") == 28
+
+
+def test_aliases_are_distinct_without_a_shuffle_where_entities_come_once(spark, monkeypatch):
+    from entitrail.config import MatchingConfig
+    from entitrail.functions.morphology import SuffixInflector
+    from entitrail.operators import aliases
+    from entitrail.sources.catalog import catalog_frame, checked
+
+    def catalog(*names):
+        senders = [{"id": str(i), "full_name": n, "email": "a@b.c"} for i, n in enumerate(names)]
+        people = [{"id": str(i), "first_name": n, "last_name": n, "previous_last_name": n, "birth_date": "1981-06-14"} for i, n in enumerate(names)]
+        return checked({"senders": senders, "people": people, "miscellaneous": [{"id": "m", "case_number": "A57-31184/2023"}], "documents": [{"id": "d", "series": "1", "number": "2"}]})
+
+    def rows(frame):
+        return sorted(str(tuple(r)) for r in frame.collect())
+
+    own = [("a", catalog("Ан Ан", "Лыков Андрей Олегович", "ООО «Х» 1", "х")), ("b", catalog("Ан Ан")), ("c", checked({}))]
+    again = [*own, ("a", catalog("Ан", "Лыков Андрей")), ("b", catalog("Ан Ан"))]
+    monkeypatch.setattr(aliases, "_without_repeats", lambda rows, catalogs: rows.distinct())
+    cases = [(c, config, inflector) for c in (own, again) for config in (None, MatchingConfig(field_weights={"full_name": 0.0})) for inflector in (None, SuffixInflector())]
+    expected = [rows(aliases.generate_aliases(catalog_frame(spark, c), *how)) for c, *how in cases]
+    monkeypatch.undo()
+    for (c, *how), x in zip(cases, expected):
+        made = aliases.generate_aliases(catalog_frame(spark, c), *how)
+        assert rows(made) == x and len(x) > 30
+        if c is own:
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "HashAggregate" not in plan
+    monkeypatch.setattr(aliases, "REPEATED", 1)
+    assert rows(aliases.generate_aliases(catalog_frame(spark, again))) == expected[4]
